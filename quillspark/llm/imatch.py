@@ -201,7 +201,8 @@ def compare_edited(docs: DataFrame, low: float = 0.0005, high: float = 0.02) ->
     spark = docs.sparkSession
     ship(spark)
     band = spark.sparkContext.broadcast(lexicon(docs, low=low, high=high))
-    parts = max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # About 2000 documents a range, however many there are.
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 2000)
     dealt = with_neighbours(docs, parts).repartition(parts // 2, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, licenses, mixing, packing, pii, quality, topk, toxicity
+from . import imatch, licenses, mixing, neardup, packing, pii, quality, topk, toxicity
 from .shared import read
 
 
@@ -37,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), parts=3, held_out=1)
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), parts=5, held_out=0)
 
@@ -46,6 +50,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_topk, op3_imatch, op4_licenses, op5_packing, op6_quality, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_topk, op3_imatch, op4_licenses, op5_packing, op6_quality, op7_neardup, op8_toxicity, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
