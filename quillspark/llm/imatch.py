@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ship
-from .text import LOWER, SPACE, U64, Lookup, distinct_per_text, hashes, mix, signed, slices, tokens
+from .text import LOWER, SPACE, U64, Lookup, Tally, distinct_per_text, hashes, mix, signed, slices, tokens
 
 #: Randomised lexicons besides the whole one.
 SEEDS = 31
@@ -42,33 +42,12 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """term (64-bit hash), df: in how many documents each term occurs; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-            return keys[at], np.add.reduceat(counts, at) if len(at) else counts
-
-        def out() -> pa.RecordBatch:
-            keys, counts = folded()
-            return pa.record_batch([pa.array(signed(keys)), pa.array(counts)], names=["term", "n"])
-
+        tally = Tally()
+        made = lambda part: pa.record_batch([pa.array(signed(part[0])), pa.array(part[1], pa.int64())], names=["term", "n"])
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                values, _ = terms(data, offsets)
-                held.append((values, np.ones(len(values), dtype=np.int64)))
-                size += len(values)
-                if size > 1_500_000:
-                    held = [folded()]
-                    size = len(held[0][0])
-                    if size > 1_000_000:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
+                yield from map(made, tally.add(terms(data, offsets)[0]))
+        yield from map(made, tally.rest())
 
     return docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, licenses, mixing, neardup, packing, pii, quality, topk, toxicity
+from . import imatch, licenses, mixing, neardup, packing, pii, ppm, quality, topk, toxicity
 from .shared import read
 
 
@@ -45,11 +45,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), parts=5, held_out=0)
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents"), parts=10, held_out=0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_topk, op3_imatch, op4_licenses, op5_packing, op6_quality, op7_neardup, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_topk, op3_imatch, op4_licenses, op5_packing, op6_quality, op7_neardup, op8_toxicity, op9_ppm, op10_mixing)}
 
 ORACLES: dict[str, str] = {}

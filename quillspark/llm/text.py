@@ -151,3 +151,33 @@ class Lookup:
             more = (got >= 0) & (self.key[at] != keys[again])
             again, at = again[more], at[more]
         return out
+
+
+class Tally:
+    """Counts of 64-bit keys, handed on in parts when there are more than `most` distinct ones."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        self.most, self.size = most, 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys, counts = np.unique(keys, return_counts=True)
+        self.held.append((keys, counts))
+        self.size += len(keys)
+        if self.size > 2 * self.most:
+            self.held = [self._folded()]
+            self.size = len(self.held[0][0])
+            if self.size > self.most:
+                yield from self.rest()
+
+    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+        return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held:
+            yield self._folded()
+        self.held, self.size = [], 0
