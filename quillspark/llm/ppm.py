@@ -8,7 +8,7 @@ contexts nested, each escape's weights depend on one context and are tabled befo
 batches are scored by lookups.
 
 The trie that tasks get keeps n-grams that make up at least SHARE of all n-grams: 1 / SHARE at most an
-order, whatever the corpus.  Likewise the word counts sent to tasks are those of words that make up at least
+order, whatever the corpus; the weight of the others goes to their context's escape.  Likewise the word counts sent to tasks are those of words that make up at least
 HEAD of all tokens; all rarer words meet their counts in a join.
 
 A null text counts as empty: its one token is the end.  A null id counts as training text.  Repeated rows
@@ -29,7 +29,7 @@ from .shared import materialize, ship
 from .text import LOWER, SPACE, U64, Lookup, Tally, distinct_per_text, hash_of, hashes, signed, slices, tokens
 
 ORDER = 5
-SHARE = 1e-6
+SHARE = 5e-7
 HEAD = 2.5e-7
 #: A symbol is a byte + 1; 0 stands before a text and after it.
 WIDTH = 9
@@ -81,37 +81,41 @@ def counts(training: DataFrame) -> DataFrame:
 class Trie:
     """Tables of the model: per order, n-grams with their counts and contexts with their escapes."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """levels: for each context length from 0 to ORDER the n-gram codes and counts."""
-        self.codes, self.contexts = [], []
-        self.seen, self.log_count = [], []
+    def __init__(self, levels: list[tuple[np.ndarray, ...]]) -> None:
+        """levels: for each context length from 0 to ORDER the kept n-gram codes and counts, and the codes,
+        totals and distinct symbols of all contexts that have one; these two count n-grams that aren't kept, too."""
+        self.codes, self.contexts, self.owner = [], [], []
+        self.log_count = []
         self.escape, self.plain = [], []  # of a context by itself: log10 of the escape, of the sum it divides by
         self.less_escape, self.less_sum = [], []  # of a context's next shorter one, without the context's own bytes
         old = None
-        for order, (codes, n) in enumerate(levels):
-            at = np.argsort(codes)
+        for order, (codes, n, contexts, total, kinds) in enumerate(levels):
+            at, at2 = np.argsort(codes), np.argsort(contexts)
             codes, n = codes[at], n[at].astype(np.float64)
-            contexts, first, kinds = np.unique(codes >> U64(WIDTH), return_index=True, return_counts=True)
-            total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
-            of = np.repeat(np.arange(len(contexts)), kinds)
+            contexts, total, kinds = contexts[at2], total[at2].astype(np.float64), kinds[at2].astype(np.float64)
+            of = np.searchsorted(contexts, codes >> U64(WIDTH))
+            kept = np.bincount(of, weights=n, minlength=len(contexts))
+            # What isn't kept is left to shorter contexts, so it adds to the escape.
+            away = kinds + total - kept
             self.codes.append(codes)
             self.contexts.append(contexts)
+            self.owner.append(of)
             self.log_count.append(np.log10(n))
             self.plain.append(np.log10(total + kinds))
-            self.escape.append(np.log10(kinds / (total + kinds)))
+            self.escape.append(np.log10(away / (total + kinds)))
             if old is None:
                 self.less_escape.append(np.zeros(0))
                 self.less_sum.append(np.zeros(0))
             else:
-                codes0, n0, contexts0, total0, kinds0 = old
+                codes0, n0, contexts0, kept0, away0 = old
                 shorter = np.searchsorted(codes0, codes & U64(mask(order)))
                 gone = np.bincount(of, weights=n0[shorter], minlength=len(contexts))
                 up = np.searchsorted(contexts0, contexts & U64(mask(order - 1)))
-                rest, rest_kinds = total0[up] - gone, kinds0[up] - kinds
-                both = np.maximum(rest + rest_kinds, 1e-300)
+                rest, rest_away = kept0[up] - gone, away0[up] - np.bincount(of, minlength=len(contexts))
+                both = np.maximum(rest + rest_away, 1e-300)
                 self.less_sum.append(np.log10(both))
-                self.less_escape.append(np.where(rest_kinds > 0, np.log10(np.maximum(rest_kinds, 1) / both), 0.0))
-            old = codes, n, contexts, total, kinds
+                self.less_escape.append(np.where(rest_away > 0, np.log10(np.maximum(rest_away, 1e-300) / both), 0.0))
+            old = codes, n, contexts, kept, away
         self.free = float(-np.log10(max(1, SYMBOLS - len(self.codes[0]))))
 
     def ready(self) -> "Trie":
@@ -132,7 +136,7 @@ class Trie:
                 context = np.full(len(here), -1)
                 miss = np.flatnonzero(~hit)
                 context[miss] = self.context_at[order].get(here[miss] >> U64(WIDTH))
-                context[hit] = np.searchsorted(self.contexts[order], here[hit] >> U64(WIDTH)) if len(self._owner(order)) == 0 else self._owner(order)[gram[hit]]
+                context[hit] = self.owner[order][gram[hit]]
                 out[hit] = self.log_count[order][gram[hit]] - self.plain[order][context[hit]]
             else:
                 context = self.context_at[order].get(here >> U64(WIDTH))
@@ -155,23 +159,19 @@ class Trie:
         out[left] += self.free
         return out
 
-    def _owner(self, order: int) -> np.ndarray:
-        """The context of each n-gram of an order."""
-        if not hasattr(self, "_owners"):
-            self._owners = {}
-        if order not in self._owners:
-            self._owners[order] = np.searchsorted(self.contexts[order], self.codes[order] >> U64(WIDTH))
-        return self._owners[order]
-
 
 def train(counted: DataFrame) -> Trie:
     """The model of the n-gram counts; at most 1 / SHARE n-grams of each order reach the driver."""
     by_gram = counted.where("kind = 1")
     total = by_gram.agg(F.sum("c")).first()[0] or 0
     orders = F.array(*(F.struct(F.lit(j).alias("j"), F.col("key").bitwiseAND(F.lit(mask(j + 1))).alias("code")) for j in range(ORDER + 1)))
-    levels = by_gram.select(F.explode(orders).alias("x"), "c").groupBy("x.j", "x.code").agg(F.sum("c").alias("c")).where(F.col("c") >= SHARE * total).toArrow()
-    j, code, c = (levels[x].to_numpy() for x in ("j", "code", "c"))
-    return Trie([(code[j == i].view(np.uint64), c[j == i]) for i in range(ORDER + 1)])
+    every = materialize(by_gram.select(F.explode(orders).alias("x"), "c").groupBy("x.j", "x.code").agg(F.sum("c").alias("c")))
+    least = max(1.0, SHARE * total)
+    kept = every.where(F.col("c") >= least).toArrow()
+    around = every.groupBy("j", F.shiftright("code", WIDTH).alias("code")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("c").alias("most")).where(F.col("most") >= least).drop("most").toArrow()
+    a, b = kept["j"].to_numpy(), around["j"].to_numpy()
+    cut = lambda table, column, which: table[column].to_numpy()[which]
+    return Trie([(cut(kept, "code", a == i).view(np.uint64), cut(kept, "c", a == i), cut(around, "code", b == i).view(np.uint64), cut(around, "total", b == i), cut(around, "kinds", b == i)) for i in range(ORDER + 1)])
 
 
 def score(docs: DataFrame, parts: int = 10, held_out: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

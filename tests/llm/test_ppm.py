@@ -44,7 +44,11 @@ def test_trie_matches_a_plain_implementation():
     asked = ["the rat sat", "", "zzz", "the cat sat on the mat", "aéé hat"]
     arr = pa.array([t.decode() for t in train])
     codes = np.concatenate([ppm.grams(d, o)[0] for _, _, d, o in slices(arr)])
-    levels = [np.unique(codes & np.uint64(ppm.mask(j + 1)), return_counts=True) for j in range(ppm.ORDER + 1)]
+    levels = []
+    for j in range(ppm.ORDER + 1):
+        code, n = np.unique(codes & np.uint64(ppm.mask(j + 1)), return_counts=True)
+        context, first, kinds = np.unique(code >> np.uint64(ppm.WIDTH), return_index=True, return_counts=True)
+        levels.append((code, n, context, np.add.reduceat(n, first), kinds))
     trie = ppm.Trie(levels).ready()
     for t in asked:
         for _, _, d, o in slices(pa.array([t])):
