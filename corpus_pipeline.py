@@ -1,12 +1,57 @@
-"""From raw documents to packed sequences: quality, near-duplicates, personal data, mixing, packing."""
+"""From raw documents to packed sequences: quality, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  Its result is
+written to the shared folder and read again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import mixing, neardup, packing, pii, quality
+from quillspark.llm.shared import materialize, read
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labels beside the documents."""
+    labels = read(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.fit(docs, labels), out="__score")
+    return scored.where(F.col("__score") >= 0.5).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.keep_one(docs, k=5, percent=80)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by the name of its kind."""
+    found = pii.redact(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    taken = mixing.mix(docs).where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences and places."""
+    return packing.pack(docs, limit=2048)
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("personal_data", redact), ("mixing", mix), ("packing", pack)]
 
-STAGES: list = []
+#: The classifier, the near-duplicates and the tokens are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs)
+    return docs
