@@ -127,6 +127,19 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
     return df.select(*(F.col(f"`{c}`") for c in columns), spans.alias(out))
 
 
+def _replaced(kind: str, pieces: Column, hits: Column) -> Column:
+    """The kind's matches, the accepted ones as <KIND>."""
+
+    def one(hit: Column, i: Column) -> Column:
+        good = _confirmed(kind, hit)
+        if kind == "ssn":  # only its context can tell it from other numbers
+            nearby = F.lower(F.concat(F.substring(pieces[i], -48, 48), F.lit(" "), F.substring(pieces[i + 1], 1, 24)))
+            good = good & nearby.rlike(RULES[kind].context)
+        return F.when(good, F.lit(f"<{kind.upper()}>")).otherwise(hit)
+
+    return F.transform(hits, one)
+
+
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace accepted spans by <KIND>, one kind after another; same columns, a null text stays null."""
     columns = df.columns
@@ -135,11 +148,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     for kind in ("email", "secret", "phone", "iban", "card", "ip", "ssn"):
         df = _proposals(df, hidden, kind, "__p", "__h")
         pieces, hits = F.col("__p"), F.col("__h")
-        wanted = lambda h, k=kind: _confirmed(k, h)
-        if kind == "ssn":  # only its context can tell it from other numbers
-            keep = F.transform(hits, lambda h, i: F.when(_confirmed("ssn", h) & F.lower(F.concat(F.substring(pieces[i], -48, 48), F.substring(pieces[i + 1], 1, 24))).rlike(RULES["ssn"].context), "<SSN>").otherwise(h))
-        else:
-            keep = F.transform(hits, lambda h, k=kind: F.when(wanted(h), f"<{k.upper()}>").otherwise(h))
+        keep = _replaced(kind, pieces, hits)
         joined = F.array_join(F.flatten(F.zip_with(pieces, keep, lambda p, h: F.array(p, F.coalesce(h, F.lit(""))))), "")
         df = df.withColumn(hidden, F.when(F.size("__h") > 0, joined).otherwise(F.col(hidden))).drop("__p", "__h")
     return df.select(*(F.when(F.col(f"`{c}`").isNotNull(), F.col(hidden)).alias(c) if c == text else F.col(f"`{c}`") for c in columns))
