@@ -38,10 +38,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out:
     return list(zip(got["text"].to_pylist(), got["y"].to_pylist(), strict=True))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights (the last one for a constant) of a logistic regression whose two labels weigh the same in all."""
+def share_of_ones(labels: DataFrame, label: str, parts: int, held_out: int) -> float:
+    """Share of label 1 among all labelled rows outside the held-out fold; 0.5 if there is none."""
+    usable = labels.where(F.col(label).cast("int").isin(0, 1) & (fold(F.col("doc_id").cast("long"), parts) != held_out))
+    got = usable.agg(F.avg(F.col(label).cast("int"))).first()[0]
+    return 0.5 if got is None else min(0.99, max(0.01, got))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ones: float, ridge: float = 1e-4, steps: int = 60) -> np.ndarray:
+    """Weights (the last one for a constant) of a logistic regression in which label 1 weighs `ones` in all and label 0 the rest."""
     x = np.column_stack([x, np.ones(len(x))])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, ones / max(1, (y == 1).sum()), (1 - ones) / max(1, (y == 0).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

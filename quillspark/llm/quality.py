@@ -1,8 +1,9 @@
 """Quality classifier by compression: which class's dictionary makes a text smaller.
 
 Two zstandard dictionaries are built from good and bad labelled texts.  A text is compressed in blocks with
-each dictionary; the difference of the two sizes over the size without a dictionary is the evidence, and a
-logistic curve fitted on labelled texts that the dictionaries haven't seen turns it into a score.  Blocks
+each dictionary; the difference of the two sizes over the size without a dictionary is the evidence, beside
+how small the text becomes by itself, and a logistic curve fitted on labelled texts that the dictionaries
+haven't seen turns it into a score.  Label 1 keeps the share that it has among all labels.  Blocks
 keep the dictionaries at work through whole texts of any length.
 
 A null text counts as empty; an empty text scores the constant of the curve.  Repeated rows get equal scores.
@@ -11,6 +12,7 @@ An empty table gives no rows.  Without labels of both kinds every score is 0.5.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labelled import SAMPLE, fold, logistic, sample
+from .labelled import SAMPLE, fold, logistic, sample, share_of_ones
 from .shared import ship
 
 BLOCK = 4096
-DICTIONARY = 1 << 17
-LEVEL = 3
+DICTIONARY = 1 << 18
+#: Bytes that a dictionary takes from one place of a text.
+PIECE = 512
+LEVEL = 6
 
 
 def _blocks(data: bytes) -> Iterator[bytes]:
@@ -35,19 +39,16 @@ def _blocks(data: bytes) -> Iterator[bytes]:
 
 
 def _gather(texts: list[str]) -> bytes:
-    """DICTIONARY bytes from all texts, the same share of each at most."""
-    share = max(256, DICTIONARY // max(1, len(texts)))
-    parts, spare = [], []
-    for t in texts:
-        raw = t.encode()
-        parts.append(raw[:share])
-        spare.append(raw[share : share + 2048])
-    out = b"\n".join(parts)
-    for more in spare:
-        if len(out) >= DICTIONARY:
-            break
-        out += b"\n" + more
-    return out[-DICTIONARY:]
+    """DICTIONARY bytes of pieces from drawn places of the texts, in turn."""
+    draw, raw, parts, size = random.Random(5), [t.encode() for t in texts if t], [], 0
+    while raw and size < DICTIONARY:
+        for r in raw:
+            at = draw.randrange(max(1, len(r) // PIECE)) * PIECE
+            parts.append(r[at : at + PIECE])
+            size += len(parts[-1]) + 1
+            if size >= DICTIONARY:
+                break
+    return b"\n".join(parts)[:DICTIONARY]
 
 
 class Sizes:
@@ -61,13 +62,15 @@ class Sizes:
                 d.precompute_compress(compression_params=params)
         self.tools = [zstandard.ZstdCompressor(compression_params=params, dict_data=d) if d is not None else zstandard.ZstdCompressor(compression_params=params) for d in kept]
 
-    def features(self, text: str) -> tuple[float, float]:
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The normalised difference, its signed square, and how small the text becomes by itself."""
         plain = good = bad = 0
-        for block in _blocks(text.encode()):
+        raw = text.encode()
+        for block in _blocks(raw):
             a, b, c = (len(tool.compress(block)) for tool in self.tools)
             plain, good, bad = plain + a, good + b, bad + c
         difference = (bad - good) / (plain + 32)
-        return difference, difference * difference * (1 if difference > 0 else -1)
+        return difference, difference * abs(difference), plain / (len(raw) + 32)
 
 
 @dataclass
@@ -75,7 +78,6 @@ class Model:
     good: bytes
     bad: bytes
     weights: list[float]
-    prior: float
 
     def scorer(self):
         sizes = Sizes(self.good, self.bad)
@@ -101,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1, m
         for texts, label in ((good[1 - side :: 2], 1), (bad[1 - side :: 2], 0)):
             x += [sizes.features(t) for t in texts]
             y += [label] * len(texts)
-    weights = logistic(np.array(x), np.array(y))
-    return Model(_gather(good), _gather(bad), weights.tolist(), len(good) / len(rows))
+    weights = logistic(np.array(x), np.array(y), share_of_ones(labels, "quality", parts, held_out))
+    return Model(_gather(good), _gather(bad), weights.tolist())
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "quality_score") -> DataFrame:

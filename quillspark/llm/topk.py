@@ -148,7 +148,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_
     folded = base.groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks"))
     folded = materialize(folded.withColumn("own", F.xxhash64("vec_id", "vec")).withColumn("dim", F.size("vec")))
     sizes = folded.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("queries")).first()
-    shards, blocks = max(1, -(-sizes["rows"] // shard_rows)), max(1, -(-sizes["queries"] // block_rows))
+    # Smaller shards for a small table, so that there is work for more than one task.
+    shards, blocks = max(1, -(-sizes["rows"] // shard_rows), min(48, sizes["rows"] // 512)), max(1, -(-sizes["queries"] // block_rows))
     shard = F.pmod("own", F.lit(shards))
     block = F.pmod(F.xxhash64(F.lit(7), "own"), F.lit(blocks))
     candidates = folded.select("vec_id", "vec", "n", "own", "dim", shard.alias("shard"))
