@@ -3,11 +3,12 @@
 1. One pass over the texts gives each document's set size, a digest of its set, its bands and its odd
    sketch: its MinHash samples folded into a bitmap of parities.  Equal sets become one node.
 2. Nodes that share a band meet in a bucket.  The population count of two sketches' XOR estimates their
-   likeness; pairs well below the threshold go.  In round 1 every node is paired with one leader only, so
-   a group of near copies gives as many pairs as it has members.  Buckets beyond `BLOCK` nodes are split.
+   likeness; pairs well below the threshold go.  In round 1 every node is paired with the nearest of its
+   buckets' leaders only, so a group of near copies gives as many pairs as it has members.  Buckets beyond
+   `BLOCK` nodes are split.
 3. A second pass makes the full sets of the paired nodes; intersections decide; links become components.
-4. Buckets that still hold several components are searched for pairs between these, near places first,
-   until no pair is left, so no link is lost to the leaders.
+4. Buckets that still hold several components are searched for pairs between these: first each node's
+   nearest few, which join most, then more, then all that are left, so no link is lost to the leaders.
 
 With R rows a band and B bands, a pair at likeness 0.8 shares no band with probability (1 - 0.8^R)^B,
 about 1e-6; pairs above it, less.
@@ -30,11 +31,13 @@ from .shared import materialize, ship
 from .text import LOWER, SPACE, U64, distinct_per_text, hashes, mix, signed, slices, tokens
 
 ROWS, BANDS = 5, 35
-SAMPLES = ROWS * BANDS
-BITS = 512
-#: Most differing bits of two sketches that go on to the full sets: about five deviations beyond likeness 0.8.
-MOST_BITS = 116
+#: MinHash samples: the first make the bands, all of them the sketch.
+SAMPLES = 2 * ROWS * BANDS
+BITS = 1024
+#: Most differing bits of two sketches that go on to the full sets: those of likeness 0.8 and five deviations.
+MOST_BITS = 180
 BLOCK = 2000
+EVERY = 1 << 31
 FILTER_BITS = 1 << 24
 _rng = np.random.Generator(np.random.PCG64(97))
 _MULTIPLY = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,14 +135,14 @@ def _group_starts(table: pa.Table, keys: int) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def _alike(sketch: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the pairs' sketches and set sizes allow likeness 0.8."""
+def _apart(sketch: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the pairs' sketches; as many as there are if the set sizes alone rule likeness 0.8 out."""
     small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    ok = small * 100 >= large * 80
-    left = np.flatnonzero(ok)
-    for part in np.array_split(left, max(1, len(left) // 200_000)):
-        ok[part] = np.bitwise_count(sketch[a[part]] ^ sketch[b[part]]).sum(axis=1) <= MOST_BITS
-    return ok
+    bits = np.full(len(a), BITS, dtype=np.int64)
+    left = np.flatnonzero(small * 100 >= large * 80)
+    for part in np.array_split(left, max(1, len(left) // 100_000)):
+        bits[part] = np.bitwise_count(sketch[a[part]] ^ sketch[b[part]]).sum(axis=1)
+    return bits
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,12 +150,12 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table["node"].to_numpy(), table["size"].to_numpy(), np.frombuffer(rows, dtype=np.uint64).reshape(table.num_rows, BITS // 64)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _pairs(node: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(node[a]), pa.array(node[b]), pa.array(bits, pa.int64())], names=["a", "b", "bits"])
 
 
 def leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each node with the first node of its bucket that it may be alike, in buckets sorted together."""
+    """Each node with the first node of its bucket that it may be alike, in buckets sorted together."""
     for table in _grouped(batches, 2):
         group = _group_starts(table, 2)
         node, size, sketch = _columns(table)
@@ -162,33 +165,55 @@ def leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             leader = np.repeat(left[first], np.diff(np.append(first, len(left))))
             others = leader != left
-            a, b = leader[others], left[others]
-            ok = _alike(sketch, size, a, b)
+            a, b = left[others], leader[others]
+            bits = _apart(sketch, size, a, b)
+            ok = bits <= MOST_BITS
             if ok.any():
-                yield _pairs(node[a[ok]], node[b[ok]])
-            left = b[~ok]
+                yield _pairs(node, a[ok], b[ok], bits[ok])
+            left = a[~ok]
 
 
-def cross_pairs(nearest: int, farthest: int):
-    """Pairs from different components of a bucket, `nearest` to `farthest` places apart."""
+def cross_pairs(most: int):
+    """Each node with the `most` nodes of its bucket's other components that seem nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 3):
             group = _group_starts(table, 3)
             comp = table["comp"].to_numpy()
             node, size, sketch = _columns(table)
-            for far in range(nearest, farthest):
-                a = np.flatnonzero(group[far:] == group[:-far]) if far < len(group) else np.zeros(0, int)
+            found = []
+            for far in range(1, len(group)):
+                a = np.flatnonzero(group[far:] == group[:-far])
                 if not len(a):
                     break
                 a = a[comp[a] != comp[a + far]]
-                ok = _alike(sketch, size, a, a + far)
-                if ok.any():
-                    yield _pairs(node[a[ok]], node[a[ok] + far])
+                bits = _apart(sketch, size, a, a + far)
+                ok = np.flatnonzero(bits <= MOST_BITS)
+                if len(ok):
+                    found += [(a[ok], a[ok] + far, bits[ok]), (a[ok] + far, a[ok], bits[ok])]
+            if found:
+                a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((node[b], bits, a))
+                a, b, bits = a[order], b[order], bits[order]
+                begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                rank = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a))))
+                yield _pairs(node, a[rank < most], b[rank < most], bits[rank < most])
 
     return run
 
 
+def nearest(found: DataFrame, most: int) -> DataFrame:
+    """(a, b), a < b: for each node the `most` partners that seem nearest over all its buckets."""
+    once = found.distinct()
+    if most == 1:
+        kept = once.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", "x.b")
+    elif most < EVERY:
+        kept = once.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "b"))), 1, most).alias("x")).select("a", F.inline("x")).select("a", "b")
+    else:
+        kept = once
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the component's smallest node) of the nodes of edges (a, b): alternating large and small stars."""
     both = lambda e: e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -263,22 +288,22 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     rows = materialize(members.join(nodes.select("node", "size", "sketch"), "node").select("bucket", own.alias("part"), parts.alias("parts"), "node", "size", "sketch"))
     comp, tested, edges = None, None, None
-    for nearest, farthest in ((0, 0), (1, 33), (33, 1 << 62)):
+    for most in (1, 2, 16, EVERY):
         if comp is None:
-            found = rows.select("bucket", "part", "node", "size", "sketch").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(leader_pairs, "a long, b long")
+            found = rows.select("bucket", "part", "node", "size", "sketch").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(leader_pairs, "a long, b long, bits long")
         else:
             labelled = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
             # Every two blocks of a split bucket meet once.
             other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
             met = labelled.join(mixed, "bucket", "left_semi").select("*", other).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "size", "sketch", "comp")
-            found = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(cross_pairs(nearest, farthest), "a long, b long")
-        pairs = found.distinct()
+            found = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(cross_pairs(most), "a long, b long, bits long")
+        pairs = nearest(found, most)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         if pairs.isEmpty():
-            if comp is None:
+            if comp is None or most == EVERY:
                 break
             continue
         tested = pairs if tested is None else tested.unionAll(pairs)
