@@ -385,16 +385,16 @@ def context_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- consistency ------------------------------------------------------------------------------------------
 
-CORES_SQL = rf"""cores AS MATERIALIZED (SELECT conv_id, core, sum(k)::BIGINT AS n, min(at) AS first, arg_min(surface, at - k * 1000000000000) AS surface FROM (
-  SELECT conv_id, core, surface, count(*) AS k, min(turn * 1000000 + pos) AS at FROM (
+CORES_SQL = rf"""cores AS MATERIALIZED (SELECT conv_id, core, sum(k)::BIGINT AS n, min(pl) AS first, arg_min(surface, pl - k * 1000000000000) AS surface FROM (
+  SELECT conv_id, core, surface, count(*) AS k, min(turn * 1000000 + pos) AS pl FROM (
   SELECT conv_id, turn, pos, surface, regexp_replace(lower(surface), '[^a-z0-9]', '', 'g') AS core FROM (
   SELECT conv_id, turn, pos, regexp_extract(token, '^([^\p{{L}}\p{{N}}_]*)(.*?)([^\p{{L}}\p{{N}}_]*)$', 2) AS surface FROM (
   SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM conversations)))) WHERE core <> '' GROUP BY ALL) GROUP BY conv_id, core),
   cand AS MATERIALIZED (SELECT *, list_reduce(list_prepend('', string_split(translate(replace(regexp_replace(core, '[^a-z]', '', 'g'), 'x', 'ks'), 'cqzeiou', 'kksaaaa'), '')), lambda a, x: CASE WHEN right(a, 1) = x THEN a ELSE a || x END) AS phonetic FROM cores WHERE length(core) >= 5 AND NOT list_contains({_COMMON_SQL}, core))"""
 SPELLING_SQL = "SELECT x.conv_id, x.core AS a, y.core AS b FROM cand x JOIN cand y ON x.conv_id = y.conv_id AND x.first < y.first AND abs(length(x.core) - length(y.core)) <= 2 AND levenshtein(x.core, y.core) <= 2"
 REMAP_SQL = f"""WITH RECURSIVE {CORES_SQL}, edge AS MATERIALIZED ({SPELLING_SQL} UNION SELECT x.conv_id, x.core, y.core FROM cand x JOIN cand y ON x.conv_id = y.conv_id AND x.phonetic = y.phonetic AND x.core <> y.core),
-  both AS MATERIALIZED (SELECT conv_id, a, b FROM edge UNION SELECT conv_id, b, a FROM edge),
-  reach AS (SELECT conv_id, core AS a, core AS b FROM cand UNION SELECT r.conv_id, r.a, e.b FROM reach r JOIN both e ON e.conv_id = r.conv_id AND e.a = r.b),
+  twoway AS MATERIALIZED (SELECT conv_id, a, b FROM edge UNION SELECT conv_id, b, a FROM edge),
+  reach AS (SELECT conv_id, core AS a, core AS b FROM cand UNION SELECT r.conv_id, r.a, e.b FROM reach r JOIN twoway e ON e.conv_id = r.conv_id AND e.a = r.b),
   comp AS (SELECT conv_id, a AS core, min(b) AS comp FROM reach GROUP BY ALL),
   ranked AS (SELECT c.conv_id, core, comp, n, surface, row_number() OVER (PARTITION BY c.conv_id, comp ORDER BY n DESC, length(core) DESC, first) AS r, sum(n) OVER (PARTITION BY c.conv_id, comp) AS total FROM comp c JOIN cand USING (conv_id, core)),
   remap AS MATERIALIZED (SELECT m.conv_id, m.core, w.surface AS replacement FROM ranked m JOIN ranked w ON w.conv_id = m.conv_id AND w.comp = m.comp AND w.r = 1 JOIN ranked s ON s.conv_id = m.conv_id AND s.comp = m.comp AND s.r = 2 WHERE m.r > 1 AND m.total >= 2 AND w.n <> s.n)"""

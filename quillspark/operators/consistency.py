@@ -17,9 +17,9 @@ def cores(texts: DataFrame, key: str, order: str, text: str = "text") -> DataFra
     each = texts.select(key, order, F.posexplode(words_of(F.col(text))).alias("pos", "token"))
     place = F.struct(order, "pos")
     forms = each.withColumn("surface", affix_parts(F.col("token"))[1]).withColumn("core", core(F.col("surface"))).where("core <> ''")
-    counted = forms.groupBy(key, "core", "surface").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("at"))
-    best = F.min_by("surface", F.struct((-F.col("k")).alias("k"), "at"))
-    return counted.groupBy(key, "core").agg(F.sum("k").alias("n"), F.min("at").alias("first"), best.alias("surface"))
+    counted = forms.groupBy(key, "core", "surface").agg(F.count(F.lit(1)).alias("__uses"), F.min(place).alias("__at"))
+    best = F.min_by("surface", F.struct((-F.col("__uses")).alias("uses"), "__at"))
+    return counted.groupBy(key, "core").agg(F.sum("__uses").alias("n"), F.min("__at").alias("first"), best.alias("surface"))
 
 
 def candidates(counted: DataFrame, min_len: int = 5) -> DataFrame:
