@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import free, ship
 from .text import LOWER, SPACE, U64, Lookup, Tally, distinct_per_text, hashes, mix, signed, slices, tokens
 
 #: Randomised lexicons besides the whole one.
@@ -132,7 +132,7 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", t
             yield pa.record_batch([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string())], names=[*kept, out])
 
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add(out, "string")
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(docs, "__text"))).mapInArrow(run, schema)
 
 
 def with_neighbours(docs: DataFrame, parts: int) -> DataFrame:

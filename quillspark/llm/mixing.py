@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import free, materialize
 
 BITS, LEVELS, TOTAL = 12, 3, 63
 
@@ -91,10 +91,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     t, s = F.col(f"`{text}`").cast("string"), F.col(f"`{source}`").cast("string")
     u = draw(F.col(f"`{doc_id}`").cast("string"), t)
     sized = materialize(docs.select(s.alias("source"), words(t).alias("size"), u.alias("u")))
-    limits = thresholds(sized, **how).select(F.col("source").alias("__s"), "source_size", "target", "whole", "below")
-    limits = materialize(limits)
+    side = free(docs, "__limits")
+    limits = materialize(thresholds(sized, **how).select(F.struct("source", "source_size", "target", "whole", "below").alias(side)))
     few = limits.count() <= how.get("small", 100_000)
-    marked = docs.select(*(F.col(f"`{c}`") for c in kept), words(t).alias("size"), u.alias("__u"), s.alias("__source"))
-    out = marked.join(F.broadcast(limits) if few else limits, F.col("__source").eqNullSafe(F.col("__s")))
-    copies = F.col("whole") + (F.col("__u") < F.col("below")).cast("long")
-    return out.select(*(F.col(f"`{c}`") for c in kept), "size", "source_size", "target", copies.alias("copies"))
+    limit = lambda c: F.col(side).getField(c)
+    out = docs.join(F.broadcast(limits) if few else limits, s.eqNullSafe(limit("source")))
+    copies = limit("whole") + (u < limit("below")).cast("long")
+    return out.select(*(F.col(f"`{c}`") for c in kept), words(t).alias("size"), limit("source_size").alias("source_size"), limit("target").alias("target"), copies.alias("copies"))

@@ -31,6 +31,8 @@ from .shared import ship, tokenizer_path
 
 CACHE = 400_000
 DOCS_A_TASK = 50_000
+# Unicode's white space.
+SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END_OF_WORD = b"\xff"  # a byte that UTF-8 doesn't have
 
 
@@ -64,7 +66,8 @@ class WordTokens(dict):
         for b, r in ranks.items():
             self.bytes_of[r] = ids.get(b, 0).to_bytes(4, "little")
         cut = next(p["pattern"]["Regex"] for p in model["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(cut).findall
+        # The tokenizer's white space, which differs from that of Python's regular expressions.
+        self.split = regex.compile(cut.replace(r"\s", SPACES)).findall
         self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in model["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
 
@@ -76,17 +79,19 @@ class WordTokens(dict):
         encode, of = self.core.encode_single_piece, self.bytes_of
         return b"".join([of[i] for p in pieces for i in encode(p.encode() + END_OF_WORD)])
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: bytes) -> bytes:
+        word = key.decode()
         if self.special and "<|" in word:
             made = b"".join(self.added.get(p) or self._plain(p) for p in self.special.split(word))
         else:
             made = self._plain(word)
-        if len(self) < CACHE and len(word) < 64:
-            self[word] = made
+        if len(self) < CACHE and len(key) < 64:
+            self[key] = made
         return made
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        """Ids of a text; only ASCII white space parts words here, so that no other character is touched."""
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 _tables: dict[str, WordTokens] = {}

@@ -117,14 +117,14 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
     Matches are leftmost and non-overlapping within a kind; kinds may overlap one another.
     """
     columns = [c for c in df.columns if c != out]
-    hidden = "__pii_text"
-    df = df.withColumn(hidden, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    row, hidden = "__row", "__pii_text"
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias(row), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(hidden))
     for kind in KINDS:
         df = _proposals(df, hidden, kind, f"__{kind}_p", f"__{kind}_h")
     found = [F.when(F.size(f"__{k}_h") > 0, _spans(k, F.col(f"__{k}_p"), F.col(f"__{k}_h"))) for k in KINDS]
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,validated:boolean,score:double>>")
     spans = F.array_sort(F.concat(*(F.coalesce(x, empty) for x in found)))
-    return df.select(*(F.col(f"`{c}`") for c in columns), spans.alias(out))
+    return df.select(*(F.col(row).getField(c).alias(c) for c in columns), spans.alias(out))
 
 
 def _replaced(kind: str, pieces: Column, hits: Column) -> Column:
@@ -143,15 +143,16 @@ def _replaced(kind: str, pieces: Column, hits: Column) -> Column:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace accepted spans by <KIND>, one kind after another; same columns, a null text stays null."""
     columns = df.columns
-    hidden = "__pii_text"
-    df = df.withColumn(hidden, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    row, hidden = "__row", "__pii_text"
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias(row), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(hidden))
     for kind in ("email", "secret", "phone", "iban", "card", "ip", "ssn"):
         df = _proposals(df, hidden, kind, "__p", "__h")
         pieces, hits = F.col("__p"), F.col("__h")
         keep = _replaced(kind, pieces, hits)
         joined = F.array_join(F.flatten(F.zip_with(pieces, keep, lambda p, h: F.array(p, F.coalesce(h, F.lit(""))))), "")
         df = df.withColumn(hidden, F.when(F.size("__h") > 0, joined).otherwise(F.col(hidden))).drop("__p", "__h")
-    return df.select(*(F.when(F.col(f"`{c}`").isNotNull(), F.col(hidden)).alias(c) if c == text else F.col(f"`{c}`") for c in columns))
+    old = lambda c: F.col(row).getField(c)
+    return df.select(*(F.when(old(c).isNotNull(), F.col(hidden)).alias(c) if c == text else old(c).alias(c) for c in columns))
 
 
 def digest(spans: Column, kinds: tuple[str, ...]) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import SAMPLE, fold, logistic, sample, share_of_ones
-from .shared import ship
+from .shared import free, ship
 
 BLOCK = 4096
 DICTIONARY = 1 << 18
@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
             scores = [judge(t.as_py() or "") for t in batch.column(len(kept))]
             yield pa.record_batch([*(batch.column(i) for i in range(len(kept))), pa.array(scores, pa.float64())], names=[*kept, out])
 
-    picked = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("__text"))
+    picked = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(docs, "__text")))
     return picked.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.DoubleType())]))
 
 

@@ -50,6 +50,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: the name, with underscores put before it while it is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file on this machine."""
     folder = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")

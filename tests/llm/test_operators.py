@@ -1,0 +1,263 @@
+import hashlib
+import json
+import math
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import imatch, licenses, mixing, packing, ppm, quality, topk, toxicity
+from quillspark.llm.shared import tokenizer_path
+from quillspark.llm.text import Lookup, hash_of
+
+EDGES = [None, "", " ", "a", "É é́ Σας ΣΑΣ", "the cat " * 3000, "x" * 100_000, "<|endoftext|> it's 12 don't", "tab\tnew\nline\x0b\x0c"]
+
+
+def test_lookup_finds_what_it_holds():
+    rnd = np.random.default_rng(1)
+    keys = np.unique(rnd.integers(0, 2**63, 5000, dtype=np.uint64))
+    table = Lookup(keys)
+    assert (table.get(keys) == np.arange(len(keys))).all()
+    assert (table.get(rnd.integers(2**63, 2**64 - 1, 5000, dtype=np.uint64)) == -1).all()
+    assert (Lookup(np.zeros(0, np.uint64)).get(keys) == -1).all()
+
+
+# ---- top-k ------------------------------------------------------------------------------------------------
+
+
+def test_topk_matches_brute_force(spark):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.choice([-1.0, -0.5, 0.25, 0.7]) for _ in range(6)]) for i in range(400)]
+    rows += [(100, [0.1] * 6), (7, rows[7][1]), (200, rows[200][1]), (500, None), (600, []), (700, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (800, [float("nan")] * 6), (900, [1.0, 2.0]), (None, [0.5] * 6), (1000, [3.0e30] * 6)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, own int")
+    got = topk.search(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=50, block_rows=2, leaf=8).collect()
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for at, (q, v) in enumerate(good):
+        if q % 100 == 0:
+            hits = sorted((-max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for j, (i, w) in enumerate(good) if j != at and len(w) == len(v))
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(hits[:10])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_topk_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.search(df, F.col("vec_id") % 100 == 0).count() == 0
+
+
+# ---- fingerprints -----------------------------------------------------------------------------------------
+
+
+def test_fingerprints_of_edited_texts(spark):
+    rnd = random.Random(3)
+    rows = [(i * 3 % 101, " ".join(f"w{int(rnd.paretovariate(0.7)) % 5000}" for _ in range(rnd.randint(0, 120)))) for i in range(101)]
+    rows += [(200 + i, t) for i, t in enumerate(EDGES)] + [(200, "again"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in imatch.compare_edited(df, low=0.01, high=0.5).collect():
+        got.setdefault((r["doc_id"], r["n_chars"]), []).append(r)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    assert sum(map(len, got.values())) == len(rows)
+    prints = {}
+    for i, (d, t) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        m = len(t) // 3
+        sha = hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()
+        found = [r for r in got[d, len(t)] if r["edited_sha256"] == sha]
+        assert found, d
+        assert prints.setdefault(t, found[0]["fingerprint"]) == found[0]["fingerprint"]
+        assert 0 <= found[0]["near_edited"] <= 1 and 0 <= found[0]["near_next"] <= 1
+    every = [r for x in got.values() for r in x]
+    assert sum(r["near_edited"] for r in every) > sum(r["near_next"] for r in every)
+    one = imatch.compare_edited(spark.createDataFrame([(1, "only one here")], "doc_id long, text string")).collect()
+    assert one[0]["near_next"] == 1.0
+    assert imatch.compare_edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprint_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([("a b c", 1, "x"), ("a b c", 2, None), (None, 3, "z")], "text string, __text int, fingerprint string")
+    got = imatch.fingerprint(df).orderBy("__text").collect()
+    assert got[0]["fingerprint"] == got[1]["fingerprint"] != got[2]["fingerprint"]
+
+
+# ---- licenses ---------------------------------------------------------------------------------------------
+
+
+def test_license_places(spark):
+    texts = ["CC-BY cc by 4.0; all rights\nreserved", "General Public License general public", None, "", "all rights é reserved", "cc by " * 500, "Released under the MIT License.", "Permission is hereby granted, free of any charge, to any person obtaining a copy of this software and associated documentation files"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(df).collect()), key=str)
+    assert len(got) == 9 and got[0] == got[1]
+    by = {r[0]: r for r in got}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = [(p, label) for phrase, label in licenses.BASE.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        at = [p for p, _ in places]
+        assert by[i][1:6] == (len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))), i
+    assert by[6][6] == "mit" and by[7][6] == "mit" and by[2][7] == 0.0
+    assert licenses.scan(df.where("doc_id < 0")).count() == 0
+
+
+# ---- packing ----------------------------------------------------------------------------------------------
+
+
+def test_word_tokens_match_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    own, theirs = packing.WordTokens(path), Tokenizer.from_file(path)
+    rnd = random.Random(5)
+    texts = [t for t in EDGES if t] + ["".join(chr(rnd.choice([rnd.randint(32, 126), rnd.randint(0xC0, 0x24F), rnd.randint(0x300, 0x36F), rnd.randint(0x370, 0x3FF), rnd.randint(0x4E00, 0x9FFF), 0x1F600, 0xA0, 0x2028, 0x1C])) for _ in range(rnd.randint(1, 60))) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
+def test_packing_round_trip(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice(["cat", "dog", "zebra7"]) for _ in range(rnd.randint(0, 90)))) for i in range(150)] + [(900 + i, t) for i, t in enumerate(EDGES)] + [(3, "twice"), (3, "twice"), (None, "no id")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), limit=64).collect()
+    own = packing.WordTokens(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for d, t in rows:
+        ids = own.encode(t or "") + b"\0" * 4
+        want += [(d, at // 256, at // 4, len(ids[at : at + 256]) // 4, zlib.crc32(ids[at : at + 256])) for at in range(0, len(ids), 256)]
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    ends, total = {}, 0
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+        total += r["length"]
+    assert max(ends.values()) <= 64 and len(ends) <= math.ceil(total / 64) * 1.05 + 1
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_two_fit_is_whole(seed):
+    rnd = np.random.default_rng(seed)
+    lengths = rnd.integers(1, 65, 500)
+    bins, offsets = packing.best_two_fit(lengths, 64)
+    for b in np.unique(bins):
+        at = np.flatnonzero(bins == b)
+        at = at[np.argsort(offsets[at])]
+        assert (offsets[at] == np.append(0, np.cumsum(lengths[at])[:-1])).all() and lengths[at].sum() <= 64
+    left: list[int] = []  # first fit, longest first
+    for n in sorted(lengths.tolist(), reverse=True):
+        at = next((i for i, x in enumerate(left) if x >= n), None)
+        if at is None:
+            left.append(64 - n)
+        else:
+            left[at] -= n
+    assert len(np.unique(bins)) <= len(left)
+
+
+# ---- classifiers ------------------------------------------------------------------------------------------
+
+
+def labelled(spark, kind):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice(["the", "ing", "er", "on", "at", "es", "re"]) for _ in range(rnd.randint(1, 3)))
+    docs, labels = [], []
+    for i in range(400):
+        words, bad = [word() for _ in range(rnd.randint(20, 120))], rnd.random() < 0.3
+        if bad and kind == "quality":
+            words = [w.upper() + "!!" for w in words]
+        if bad and kind == "toxic":
+            words.insert(rnd.randrange(len(words)), rnd.choice(["moron", "idiot", "scum"]) if i % 2 else rnd.choice(["m0ron", "1diot", "sc um", "idiooot", "$cum", "i d i o t"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(not bad) if kind == "quality" else 1, int(bad)))
+    docs += [(1000 + i, t) for i, t in enumerate(EDGES)] + [(0, docs[0][1]), (None, "no id")]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+
+
+def accuracy(got, labels, column, parts, fold):
+    truth = {r["doc_id"]: r[column] for r in labels.collect() if r[column] is not None and r["doc_id"] is not None}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % parts == fold)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    return sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held)
+
+
+def test_quality_on_the_held_out_fold(spark):
+    docs, labels = labelled(spark, "quality")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == docs.count() and accuracy(got, labels, "quality", 3, 1) > 0.95
+    assert {r["score"] for r in quality.score(docs, None, out="s").select(F.col("s").alias("score")).collect()} == {0.5}
+    kept = quality.score(docs.withColumn("__text", F.lit(1)), None)
+    assert kept.columns == ["doc_id", "text", "__text", "quality_score"]
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    docs, labels = labelled(spark, "toxic")
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == docs.count() and accuracy(got, labels, "toxic", 5, 0) > 0.9
+    empty = docs.where("doc_id < 0")
+    assert toxicity.classify(empty, labels).count() == 0
+
+
+# ---- language model ---------------------------------------------------------------------------------------
+
+
+def test_unigram_base_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "HEAD", 0.02)  # most words go through the join
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.5)) % 200}" for _ in range(rnd.randint(0, 60)))) for i in range(120)] + [(300 + i, t) for i, t in enumerate(EDGES)] + [(1, "again"), (1, "again"), (None, "no id")]
+    got = ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    split = lambda t: (t or "").encode().lower().split() + [None]
+    counts = {}
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 10:
+            for w in split(t):
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((str(d), len(split(t)), sum(w in counts for w in split(t)), n, round(sum(math.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in split(t)), 6)) for d, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+    assert ppm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# ---- mixing -----------------------------------------------------------------------------------------------
+
+
+def fill(sizes, weights, budget, cap=2.0):
+    target, open_ = dict.fromkeys(sizes, 0.0), dict(sizes)
+    while open_:
+        part = {s: budget * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        over = [s for s in open_ if part[s] > cap * sizes[s]]
+        if not over:
+            return target | part
+        for s in over:
+            target[s], budget = cap * sizes[s], budget - cap * sizes[s]
+            del open_[s]
+    return target
+
+
+def test_mix_meets_its_targets(spark):
+    rnd = random.Random(10)
+    rows = [(i, " ".join(["w"] * rnd.randint(0, 9)), rnd.choice(["a", "a", "a", "a", "b", "ä", "Z", None]), i) for i in range(3000)] + [(5000 + i, t, "edge", 0) for i, t in enumerate(EDGES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = mixing.mix(df).collect()
+    again = {r["doc_id"]: r["copies"] for r in mixing.mix(df.repartition(3)).collect()}
+    sizes = {}
+    for d, t, s, _ in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        sizes[s] = sizes.get(s, 0) + n
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        assert abs(r["target"] - target[r["source"]]) < 1e-6 and r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["copies"] <= 2 and again[r["doc_id"]] == r["copies"]
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 10 for s in sizes if s != "edge")
+    assert mixing.mix(df.where("doc_id < 0")).count() == 0
+
+
+def test_fixed_values_are_small():
+    assert len(licenses.template_grams()) < 200 and hash_of("a") != hash_of("b")
+    assert json.load(open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8"))["model"]["type"] == "BPE" and os.path.isabs(tokenizer_path("word_bpe_49k.json"))
