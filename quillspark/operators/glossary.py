@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import core, is_term, term_tokens
 
+# The budget, and the sentence that opens a prompt.
 MAX_TERMS, MAX_CHARS, TAIL_CHARS = 100, 8000, 200
 SITUATION = "Technical dictation; keep terminology consistent."
 

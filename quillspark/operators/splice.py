@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import core
 
+# The longest and shortest overlap, the share of words that must agree, and the mark of a bare seam.
 WINDOW, LEAST, THRESHOLD = 15, 2, 0.6
 MARK = "[⚠ seam]"
 

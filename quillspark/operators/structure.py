@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# What stands for a gap and between sections.
 GAP = "[audio unavailable]"
 RULE = "\n\n---\n\n"
 
