@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        _local[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
