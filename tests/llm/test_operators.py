@@ -200,6 +200,18 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert toxicity.classify(empty, labels).count() == 0
 
 
+def test_finder_sees_what_a_scan_of_the_words_sees():
+    from collections import Counter
+
+    model = toxicity.CharacterModel(Counter({"moron": 40, "idiot": 40, "scum": 40, "the": 60, "thing": 9}))
+    lexicon = {"moron": 5.0, "idiot": 5.0, "scum": 5.0}
+    find, restorer = toxicity.Finder(lexicon, model), toxicity.Restorer(model)
+    texts = ["", "the moron, the", "m0r0n!! IDIOOOT", "i d i o t", "x m.o.r.o.n. y", "s-c-u-m $cum", "a b c d", "the thing " * 50 + "1di0t", "é scum\tidiot"]
+    for t in texts * 2:
+        assert find(t) == toxicity.words_of(t, restorer) & lexicon.keys(), t
+    assert [sorted(find(t)) for t in texts[:5]] == [[], ["moron"], ["idiot", "moron"], ["idiot"], ["moron"]]
+
+
 # ---- language model ---------------------------------------------------------------------------------------
 
 
