@@ -39,21 +39,34 @@ def _shorter(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, one)))
 
 
-def spelling_edges(found: DataFrame, key: str, distance: int = 2) -> DataFrame:
+#: Candidates of a session up to which its words are compared by length alone.
+SMALL = 2000
+
+
+def spelling_edges(found: DataFrame, key: str, distance: int = 2, small: int = SMALL) -> DataFrame:
     """Pairs of a session's cores within an edit distance of 1 or 2.
 
-    Such words share a form with as many letters left out, so they meet in an equi-join on these forms
-    instead of all pairs; the built-in distance then decides.
+    In a small session words of about the same length meet in an equi-join on the length.  In a larger one
+    that would be nearly all pairs; there words meet that share a form with as many letters left out, which
+    all words within the distance do.  The built-in distance decides in either case.
     """
-    forms = F.array("core")
-    levels = [forms]
+    sized = found.select(key, "core", "first", F.count(F.lit(1)).over(Window.partitionBy(key)).alias("many"))
+    near = F.levenshtein("a", "b", distance).between(0, distance)
+
+    def met(rows: DataFrame, mine: Column, theirs: Column) -> DataFrame:
+        left = rows.select(F.col(key), F.col("core").alias("a"), F.col("first").alias("one"), F.explode(mine).alias("sign"))
+        right = rows.select(F.col(key).alias("k2"), F.col("core").alias("b"), F.col("first").alias("two"), F.explode(theirs).alias("s2"))
+        both = left.join(right, (F.col(key) == F.col("k2")) & (F.col("sign") == F.col("s2")) & (F.col("one") < F.col("two")))
+        return both.select(key, "a", "b")
+
+    n = F.length("core")
+    by_length = met(sized.where(F.col("many") <= small), F.sequence(n - distance, n + distance), F.array(n)).where(near)
+    levels = [F.array("core")]
     for _ in range(distance):
         levels.append(_shorter(levels[-1]))
-    signed = found.select(key, "core", "first", F.explode(F.array_distinct(F.concat(*levels))).alias("form"))
-    other = signed.select(F.col(key).alias("k2"), F.col("core").alias("b"), F.col("first").alias("second"), F.col("form").alias("f2"))
-    met = signed.join(other, (F.col(key) == F.col("k2")) & (F.col("form") == F.col("f2")) & (F.col("first") < F.col("second")))
-    near = met.select(key, F.col("core").alias("a"), "b").distinct()
-    return near.where(F.levenshtein("a", "b", distance).between(0, distance))
+    forms = F.array_distinct(F.concat(*levels))
+    by_form = met(sized.where(F.col("many") > small), forms, forms).distinct().where(near)
+    return by_length.unionByName(by_form)
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:

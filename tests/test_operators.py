@@ -63,6 +63,15 @@ def test_clean_keeps_blocks_apart(spark):
     assert cleaned(spark, "kubernetes kubernetes", "", "kubernetis ok") == ["kubernetes kubernetes", "", "kubernetes ok"]
 
 
+def test_both_ways_to_near_spellings_agree(spark):
+    words = "kubernetes kubernetis coobernetes ingress ingres ingrss schedule scheduler schedular abcde abcdf abxyz".split()
+    df = spark.createDataFrame([("s", 0, " ".join(words))], "k string, seq int, text string")
+    found = consistency.candidates(consistency.cores(df, "k", "seq"))
+    pairs = lambda small: {tuple(r)[1:] for r in consistency.spelling_edges(found, "k", small=small).collect()}
+    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if brute_wer(a, b) <= 2}
+    assert pairs(2000) == want == pairs(0)
+
+
 def test_null_text_is_no_term(spark):
     df = spark.createDataFrame([("s", 0, None), ("s", 1, "x Kafka broker42 the")], "k string, seq int, text string")
     found = glossary.terms(df, ["k", "seq"])
