@@ -174,23 +174,33 @@ def leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cross_pairs(most: int):
-    """Each node with the `most` nodes of its bucket's other components that seem nearest."""
+    """Each node with the `most` nodes of its bucket's other components that seem nearest.
+
+    A pair counts in the first band that it shares only, and in one task of a split bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 3):
             group = _group_starts(table, 3)
             comp = table["comp"].to_numpy()
             node, size, sketch = _columns(table)
+            part, band, split = table["part"].to_numpy(), table["band"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()
+            short = table["short"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
             found = []
             for far in range(1, len(group)):
                 a = np.flatnonzero(group[far:] == group[:-far])
                 if not len(a):
                     break
-                a = a[comp[a] != comp[a + far]]
+                a = a[(comp[a] != comp[a + far]) & (~split[a] | (part[a] != part[a + far]))]
                 bits = _apart(sketch, size, a, a + far)
-                ok = np.flatnonzero(bits <= MOST_BITS)
-                if len(ok):
-                    found += [(a[ok], a[ok] + far, bits[ok]), (a[ok] + far, a[ok], bits[ok])]
+                ok = bits <= MOST_BITS
+                a, bits = a[ok], bits[ok]
+                ok = (short[a] == short[a + far]).argmax(axis=1) == band[a]
+                a, bits = a[ok], bits[ok]
+                if len(a):
+                    found.append((a, a + far, bits))
+                    if most < EVERY:
+                        found.append((a + far, a, bits))
             if found:
                 a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.lexsort((node[b], bits, a))
@@ -281,12 +291,13 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
     nodes = materialize(
         usable.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     )
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = placed.join(shared, "bucket").select("node", "bucket", "members")
+    members = placed.join(shared, "bucket").select("node", "band", "bucket", "members")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rows = materialize(members.join(nodes.select("node", "size", "sketch"), "node").select("bucket", own.alias("part"), parts.alias("parts"), "node", "size", "sketch"))
+    short = F.transform("bands", lambda b: F.pmod(b, F.lit(2**31 - 1)).cast("int"))
+    rows = materialize(members.join(nodes.select("node", "size", "sketch", short.alias("short")), "node").select("bucket", "band", own.alias("part"), parts.alias("parts"), "node", "size", "sketch", "short"))
     comp, tested, edges = None, None, None
     for most in (1, 2, 16, EVERY):
         if comp is None:
@@ -296,7 +307,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
             mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
             # Every two blocks of a split bucket meet once.
             other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-            met = labelled.join(mixed, "bucket", "left_semi").select("*", other).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "size", "sketch", "comp")
+            met = labelled.join(mixed, "bucket", "left_semi").select("*", other).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "size", "sketch", "comp", "part", "band", "short")
             found = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(cross_pairs(most), "a long, b long, bits long")
         pairs = nearest(found, most)
         if tested is not None:
