@@ -7,9 +7,11 @@ distinct bytes seen there), leaving out the bytes that the longer context would
 contexts nested, each escape's weights depend on one context and are tabled beforehand, so whole
 batches are scored by lookups.
 
-The trie that tasks get keeps n-grams that make up at least SHARE of all n-grams: 1 / SHARE at most an
-order, whatever the corpus; the weight of the others goes to their context's escape.  Likewise the word counts sent to tasks are those of words that make up at least
-HEAD of all tokens; all rarer words meet their counts in a join.
+A byte's probability depends on its n-gram of ORDER + 1 symbols alone.  The table sent to tasks has those
+n-grams that make up at least SHARE of all: 1 / SHARE at most, whatever the corpus; all others, seen in
+training or not, meet their probabilities in a join, so every counted n-gram is in the model.  Likewise the
+word counts sent to tasks are those of words that make up at least HEAD of all tokens; all rarer words meet
+their counts in a join.  Trie is the same model in one process, for counts that fit there.
 
 A null text counts as empty: its one token is the end.  A null id counts as training text.  Repeated rows
 are counted and scored as often as they come.  An empty table gives no rows.
@@ -160,18 +162,31 @@ class Trie:
         return out
 
 
-def train(counted: DataFrame) -> Trie:
-    """The model of the n-gram counts; at most 1 / SHARE n-grams of each order reach the driver."""
-    by_gram = counted.where("kind = 1")
-    total = by_gram.agg(F.sum("c")).first()[0] or 0
-    orders = F.array(*(F.struct(F.lit(j).alias("j"), F.col("key").bitwiseAND(F.lit(mask(j + 1))).alias("code")) for j in range(ORDER + 1)))
-    every = materialize(by_gram.select(F.explode(orders).alias("x"), "c").groupBy("x.j", "x.code").agg(F.sum("c").alias("c")))
-    least = max(1.0, SHARE * total)
-    kept = every.where(F.col("c") >= least).toArrow()
-    around = every.groupBy("j", F.shiftright("code", WIDTH).alias("code")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("c").alias("most")).where(F.col("most") >= least).drop("most").toArrow()
-    a, b = kept["j"].to_numpy(), around["j"].to_numpy()
-    cut = lambda table, column, which: table[column].to_numpy()[which]
-    return Trie([(cut(kept, "code", a == i).view(np.uint64), cut(kept, "c", a == i), cut(around, "code", b == i).view(np.uint64), cut(around, "total", b == i), cut(around, "kinds", b == i)) for i in range(ORDER + 1)])
+def seen(by_gram: DataFrame) -> DataFrame:
+    """code, c, p of all n-grams of the longest order: count and log10 probability."""
+    # A context has at most SYMBOLS n-grams.
+    around = by_gram.groupBy(F.shiftright("key", WIDTH)).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct(F.col("key").alias("code"), "c")).alias("own"))
+    return around.select("total", "kinds", F.inline("own")).select("code", "c", (F.log10("c") - F.log10(F.col("total") + F.col("kinds"))).alias("p"))
+
+
+def escaped(asked: DataFrame, by_gram: DataFrame) -> DataFrame:
+    """code, p: log10 probability of the last symbol of n-grams that training hasn't seen, by their shorter contexts."""
+    every_order = lambda code: F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(code).bitwiseAND(F.lit(mask(j + 1))).alias("code")) for j in range(ORDER + 1)))).alias("x")
+    every = materialize(by_gram.select(every_order("key"), "c").groupBy("x.j", "x.code").agg(F.sum("c").alias("c")))
+    # gone: what the next shorter context has counted of the symbols that this one has, and so excludes.
+    shorter = every.select((F.col("j") + 1).alias("j"), F.col("code").alias("suffix"), F.col("c").alias("less"))
+    nested = every.withColumn("suffix", F.expr(f"code & (shiftleft(1L, {WIDTH} * j) - 1)")).join(shorter, ["j", "suffix"], "left")
+    contexts = nested.groupBy("j", F.shiftright("code", WIDTH).alias("context")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("less"), F.lit(0)).alias("gone"))
+    steps = asked.select(F.col("code").alias("whole"), every_order("code")).select("whole", "x.j", "x.code", F.shiftright("x.code", WIDTH).alias("context"))
+    found = steps.join(every, ["j", "code"], "left").join(contexts, ["j", "context"], "left")
+    wide = found.groupBy("whole").agg(*(F.max(F.when(F.col("j") == j, F.col(name))).alias(f"{name}{j}") for j in range(ORDER + 1) for name in ("c", "total", "kinds", "gone")))
+    p = -F.log10(F.greatest(F.lit(1), SYMBOLS - F.coalesce("kinds0", F.lit(0))))
+    for j in range(ORDER + 1):
+        longer = lambda name, j=j: F.coalesce(f"{name}{j + 1}", F.lit(0)) if j < ORDER else F.lit(0)
+        kinds = F.col(f"kinds{j}") - longer("kinds")
+        divisor = F.log10(F.col(f"total{j}") - longer("gone") + kinds)
+        p = F.when(F.col(f"c{j}").isNotNull(), F.log10(f"c{j}") - divisor).otherwise(F.when(kinds > 0, F.log10(kinds) - divisor).otherwise(0.0) + p)
+    return wide.select(F.col("whole").alias("code"), p.alias("p"))
 
 
 def score(docs: DataFrame, parts: int = 10, held_out: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,12 +205,20 @@ def score(docs: DataFrame, parts: int = 10, held_out: int = 0, doc_id: str = "do
     n, v = sums["n"] or 0, sums["v"]
     head = by_word.where(F.col("c") >= HEAD * n).select("key", "c").toArrow()
     order = np.argsort(head["key"].to_numpy().view(np.uint64))
-    keys, seen = head["key"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order]
-    held = spark.sparkContext.broadcast((keys, seen, train(counted)))
+    keys, often = head["key"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order]
+    by_gram = counted.where("kind = 1")
+    model = materialize(seen(by_gram))
+    frequent = model.where(F.col("c") >= SHARE * (by_gram.agg(F.sum("c")).first()[0] or 0)).select("code", "p").toArrow()
+    held = spark.sparkContext.broadcast((keys, often, frequent["code"].to_numpy().view(np.uint64), frequent["p"].to_numpy()))
+
+    def listed(name: str, values: np.ndarray, owner: np.ndarray, tf: np.ndarray, many: int) -> pa.ListArray:
+        items = pa.StructArray.from_arrays([pa.array(signed(values)), pa.array(tf, pa.int64())], [name, "tf"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(many + 1)).astype(np.int32)), items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, c, trie = held.value
-        place, trie = Lookup(words_), trie.ready()
+        words_, c, codes, p = held.value
+        place, gram_at = Lookup(words_), Lookup(codes)
+        p = np.append(p, 0.0)  # the last is for n-grams that aren't in the table: place -1
         logs = np.log10(c + 0.1)
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
@@ -210,19 +233,25 @@ def score(docs: DataFrame, parts: int = 10, held_out: int = 0, doc_id: str = "do
                 rare = np.flatnonzero(~known)
                 tail, tail_owner, tf = distinct_per_text(words[rare], np.searchsorted(owner[rare], np.arange(many + 1)))
                 code, begin = grams(data, offsets)
-                total = np.add.reduceat(trie.log10(code), begin[:-1])
-                items = pa.StructArray.from_arrays([pa.array(signed(tail)), pa.array(tf, pa.int64())], ["key", "tf"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail_owner, np.arange(many + 1)).astype(np.int32)), items)
-                yield pa.record_batch([batch.column(0).slice(a, many), batch.column(2).slice(a, many), pa.array(np.diff(first) + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(total), lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                at = gram_at.get(code)
+                total = np.add.reduceat(p[at], begin[:-1])
+                miss = np.flatnonzero(at < 0)
+                grams_, grams_owner, grams_tf = distinct_per_text(code[miss], np.searchsorted(miss, begin))
+                lists = listed("key", tail, tail_owner, tf, many), listed("code", grams_, grams_owner, grams_tf, many)
+                yield pa.record_batch([batch.column(0).slice(a, many), batch.column(2).slice(a, many), pa.array(np.diff(first) + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(total), *lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "grams"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<key:long,tf:long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<key:long,tf:long>>, grams array<struct<code:long,tf:long>>"
     rows = materialize(docs.withColumn("held_out", out).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     # The end token is no rare word, but a small corpus may hold no training text at all.
     end = int(by_word.where(F.col("key") == F.lit(END - (1 << 64) if END >> 63 else END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     rare = rows.select("row", F.inline("tail")).join(by_word.select("key", "c"), "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf"))).alias("more_known"))
-    whole = rows.drop("tail").join(more, "row", "left")
+    # Only texts outside the training can hold n-grams that it hasn't seen.
+    new = rows.where("held_out").select(F.inline("grams")).select("code").distinct().join(model, "code", "left_anti")
+    scores = model.select("code", "p").unionAll(escaped(new, by_gram))
+    more_score = rows.select("row", F.inline("grams")).join(scores, "code").groupBy("row").agg(F.sum(F.col("tf") * F.col("p")).alias("more_score"))
+    whole = rows.drop("tail", "grams").join(more, "row", "left").join(more_score, "row", "left")
     divisor = float(np.log10(n + 0.1 * (v + 1)))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + float(np.log10(end + 0.1)) - F.col("n_tokens") * divisor
     known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(end > 0)
-    return whole.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return whole.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillspark.llm import ppm
 from quillspark.llm.text import slices
@@ -56,3 +57,15 @@ def test_trie_matches_a_plain_implementation():
         want, worst = brute(train, t.encode(), ppm.ORDER)
         assert abs(got - want) < 1e-9, t
         assert worst < 1e-9
+
+
+@pytest.mark.parametrize("share", [1e-9, 0.02, 2.0])
+def test_score_keeps_every_ngram(spark, monkeypatch, share):
+    monkeypatch.setattr(ppm, "SHARE", share)
+    texts = ["the cat sat on the mat", "the hat", "", "a cat, a hat, a mat" * 3, "the rat sat", "zzz", "aéé hat", None, "The cat sat on a hat", "q"] * 2
+    got = ppm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), parts=3).collect()
+    assert len(got) == len(texts) and {r.held_out for r in got} == {True, False}
+    train = [(texts[r.doc_id] or "").lower().encode() for r in got if not r.held_out]
+    for r in got:
+        want, worst = brute(train, (texts[r.doc_id] or "").lower().encode(), ppm.ORDER)
+        assert abs(r.score - want) < 1e-9 and worst < 1e-9, texts[r.doc_id]
