@@ -447,6 +447,28 @@ def seam_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "overlap_len", (F.col("overlap_len") > 0).alias("aligned"), splice.spliced_text(sure(F.col("l")), sure(F.col("r")), F.col("overlap_len")).alias("spliced"))
 
 
+SEAM_STEP = 28
+WHOLE_SEAM_SQL = rf"""WITH d AS (SELECT doc_id, doc_id % 9 AS k, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents),
+  p AS (SELECT doc_id, unnest(list_transform(range(greatest(CAST(ceil(len(w) / {SEAM_STEP}) AS BIGINT) - 1, 1)), lambda i: {{'seam': i + 1, 'l': w[i * {SEAM_STEP} + 1:(i + 1) * {SEAM_STEP} + k], 'r': w[(i + 1) * {SEAM_STEP} + 1:(i + 2) * {SEAM_STEP} + k]}})) AS x FROM d),
+  s AS (SELECT doc_id, x.seam AS seam, x.l AS l, x.r AS r FROM p),
+  n AS (SELECT *, list_transform(l, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS a, list_transform(r, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS b FROM s),
+  o AS (SELECT *, coalesce(list_max(list_filter(range(2, least(len(l), len(r), 15) + 1), lambda m: len(list_filter(range(1, m + 1), lambda i: a[len(a) - m + i] = b[i] AND b[i] <> '')) / m >= 0.6)), 0) AS overlap FROM n)
+  SELECT doc_id, CAST(seam AS INTEGER) AS seam, CAST(overlap AS INTEGER) AS overlap_len, overlap > 0 AS aligned, CASE WHEN overlap > 0 THEN array_to_string(list_concat(l, r[overlap + 1:]), ' ') ELSE array_to_string(list_filter([array_to_string(l, ' '), '[⚠ seam]', array_to_string(r, ' ')], lambda x: x <> ''), ' ') END AS spliced FROM o"""
+
+
+@query(WHOLE_SEAM_SQL)
+def seam_splice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's whole text in overlapping parts, put together again at each seam."""
+    sure = lambda words: F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(1.0).alias("confidence")))
+    cut = lambda words: splice.seams(F.col(words), SEAM_STEP, (F.col("doc_id") % 9).cast("int"))
+    # What a generator makes isn't worked out again.
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(text.words_of(F.col("text")))).alias("w"))
+    d = d.select("doc_id", "w", F.explode(F.array(F.transform("w", text.core))).alias("c"))
+    d = d.select("doc_id", F.posexplode(F.arrays_zip(cut("w").alias("words"), cut("c").alias("cores"))).alias("at", "x"))
+    d = d.select("doc_id", (F.col("at") + 1).alias("seam"), "x.words.left", "x.words.right", splice.overlap_of_cores(F.col("x.cores.left"), F.col("x.cores.right")).alias("overlap_len"))
+    return d.select("doc_id", "seam", "overlap_len", (F.col("overlap_len") > 0).alias("aligned"), splice.spliced_text(sure(F.col("left")), sure(F.col("right")), F.col("overlap_len")).alias("spliced"))
+
+
 @query()
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors of each turn against the one before."""

@@ -17,13 +17,27 @@ def overlap(left: Column, right: Column, window: int = WINDOW, least: int = LEAS
 
     left and right are arrays of words; they are compared by their cores, and empty cores match nothing.
     """
-    l, r = F.transform(left, core), F.transform(right, core)
-    most = F.least(F.size(left), F.size(right), F.lit(window))
+    return overlap_of_cores(F.transform(left, core), F.transform(right, core), window, least, threshold)
+
+
+def overlap_of_cores(l: Column, r: Column, window: int = WINDOW, least: int = LEAST, threshold: float = THRESHOLD) -> Column:
+    """The same of words that are cores already."""
+    most = F.least(F.size(l), F.size(r), F.lit(window))
     hits = lambda n: F.size(F.filter(F.zip_with(F.slice(l, -n, n), F.slice(r, F.lit(1), n), lambda a, b: (a == b) & (a != "")), lambda x: x))
     fits = F.filter(F.sequence(F.lit(least), most), lambda n: hits(n) / n >= threshold)
     return F.when(most >= least, F.coalesce(F.array_max(fits), F.lit(0))).otherwise(0)
 
 
+def seams(words: Column, step: int, more: Column) -> Column:
+    """Structs of left and right at each seam of consecutive parts of `step` words, each with the next `more` words too.
+
+    A part alone has an empty right.  words must be a plain column: an expression would be worked out at every seam.
+    """
+    last = F.greatest(F.ceil(F.size(words) / step).cast("int") - 2, F.lit(0))
+    part = lambda i: F.slice(words, i * step + 1, more + step)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(part(i).alias("left"), part(i + 1).alias("right")))
+
+
 def spliced(left: Column, right: Column, n: Column) -> Column:
     """Words (structs of text and confidence) with the overlap of n kept once, each word from the surer side."""
     head = F.slice(left, F.lit(1), F.size(left) - n)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions import messages, text
+from quillspark import catalog
 from quillspark.operators import assemble, consistency, glossary, intervals, metrics, splice, structure
 
 
@@ -39,6 +40,15 @@ def test_seam_without_overlap_is_marked(spark):
     assert tuple(seam(spark, [], [("b", 1.0)])) == (0, "[⚠ seam] b")
 
 
+def test_seams_reach_the_end_of_a_long_text(spark, tmp_path):
+    texts = {6: [f"w{i}" for i in range(1000)], 15: [f"w{i}" for i in range(28)], 4: []}
+    spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.seam_splice_whole(spark, str(tmp_path)).collect()))
+    one = [(4, 1, 0, False, "[⚠ seam]"), (15, 1, 0, False, " ".join(texts[15]) + " [⚠ seam]")]
+    want = [(6, n + 1, 6, True, " ".join(texts[6][28 * n : 28 * n + 62])) for n in range(35)]
+    assert got == one[:1] + want + one[1:] and got[-2][4].endswith("w999")
+
+
 def test_seam_restores_the_original(spark):
     words = [f"w{i}" for i in range(30)]
     for k in (2, 5, 10):
