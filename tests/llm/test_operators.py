@@ -212,6 +212,19 @@ def test_finder_sees_what_a_scan_of_the_words_sees():
     assert [sorted(find(t)) for t in texts[:5]] == [[], ["moron"], ["idiot", "moron"], ["idiot"], ["moron"]]
 
 
+def test_toxicity_sees_every_disguise_that_it_prices():
+    from collections import Counter
+
+    words = ["idiot", "stupid", "loser", "ass", "shit", "boob"]
+    model = toxicity.CharacterModel(Counter(dict.fromkeys(words, 40) | {"the": 60, "thing": 9}))
+    lexicon = dict.fromkeys(words, 5.0)
+    find, restorer = toxicity.Finder(lexicon, model), toxicity.Restorer(model)
+    spelt = {"iidiot": "idiot", "stuupid": "stupid", "loserr": "loser", "a$$": "ass", "1053r": "loser", "5h!7": "shit", "s h.i t": "shit", "i d.i o.t": "idiot", "b o o b": "boob"}
+    for written, word in spelt.items():
+        for t in (written, f"the {written}, the thing"):
+            assert find(t) == toxicity.words_of(t, restorer) & lexicon.keys() == {word}, t
+
+
 # ---- language model ---------------------------------------------------------------------------------------
 
 
