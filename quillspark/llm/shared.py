@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = _local.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         _local[spark.sparkContext.applicationId] = folder
@@ -48,7 +48,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `materialize` wrote of frames that nothing reads any more; other frames are left alone."""
+    for f in frames:
+        if at := f.__dict__.pop("_written", None):
+            place = f.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            place.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

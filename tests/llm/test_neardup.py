@@ -60,3 +60,41 @@ def test_keep_one_keeps_columns(spark):
     df = spark.createDataFrame([(1, text, "x"), (2, text + " end", None), (3, "else", "z"), (4, None, "n")], "doc_id long, text string, node string")
     got = neardup.keep_one(df)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]
+
+
+def test_a_large_group_below_the_threshold_gives_rows_in_proportion(spark, monkeypatch):
+    """Near copies of one text at a likeness about 0.78: nearly all pairs must be confirmed, but none leaves its task."""
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(600):
+        own = list(base)
+        for at in rnd.sample(range(140), 9):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 600, 50)]
+    for size in (2000, 100):  # whole buckets, and buckets in blocks
+        monkeypatch.setattr(neardup, "BLOCK", size)
+        made = {}
+        write = neardup.materialize
+        monkeypatch.setattr(neardup, "materialize", lambda d: made.setdefault(tuple(d.columns), []).append(n := (w := write(d)).count()) or w)  # noqa: F841
+        assert link(spark, rows) == sorted(brute(rows, 2), key=str)
+        monkeypatch.setattr(neardup, "materialize", write)
+        assert max(made["a", "b"]) <= len(rows)  # of some 180,000 pairs
+
+
+def test_intersections_and_forest_match_sets():
+    import numpy as np
+
+    rnd = random.Random(3)
+    sets = [sorted(rnd.sample(range(60), rnd.randint(0, 50))) for _ in range(40)] + [list(range(20_000))] * 2
+    offsets = np.cumsum([0] + [len(s) for s in sets])
+    a, b = np.array([(i, j) for i in range(42) for j in range(i)]).T
+    got = neardup.common(np.array(sum(sets, []), dtype=np.int64), offsets, a, b)
+    assert got.tolist() == [len(set(sets[i]) & set(sets[j])) for i, j in zip(a, b)]
+    assert neardup.forest(7, np.array([5, 6, 2]), np.array([6, 1, 3])).tolist() == [0, 1, 2, 2, 4, 1, 1]
+
+
+def test_a_column_named_like_the_helper_stays(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, None, 9)], "doc_id long, text string, __kept int")
+    assert sorted(tuple(r) for r in neardup.keep_one(df).collect()) == [(1, "a b c d e f", 7), (3, None, 9)]
