@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a classifier learns from, for each label value at most.
 SAMPLE = 1500
-#: Parts of a long text that it learns from, spread evenly over the whole text, and their length in code points.
-WINDOWS, WINDOW = 8, 2000
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -17,31 +15,32 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def usable(labels: DataFrame, label: str, parts: int, held_out: int) -> DataFrame:
+    """doc_id, y of the ids outside the held-out fold that have one label, 0 or 1; an id with both has none."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    known = known.where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), parts) != held_out))
+    return known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int = SAMPLE) -> list[tuple[str, int]]:
-    """(text, label) of at most `most` labelled documents for each label value outside the held-out fold.
+    """(text, label) of at most `most` labelled documents for each label value outside the held-out fold, in hashed order.
 
-    Which ones is decided by a hash of the id.  At most WINDOWS windows of WINDOW code points come from a
-    text, so at most 2 * most * WINDOWS * WINDOW code points reach the driver.  Unlabelled, null and
-    held-out ids are left out.
+    Which ones is decided by a hash of the id; their texts are whole.  Unlabelled, null and held-out ids
+    are left out, and ids that the labels contradict one another about.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), parts) != held_out))
     order = F.xxhash64(F.lit(23), "doc_id")
-    chosen = usable.where("y = 1").orderBy(order, "doc_id").limit(most).unionAll(usable.where("y = 0").orderBy(order, "doc_id").limit(most)).dropDuplicates(["doc_id"])
-    n, t = F.length("text"), F.col("text")
-    step = (n - WINDOW) / (WINDOWS - 1)
-    parts_of = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring(t, (i * step).cast("int") + 1, WINDOW))
-    whole = F.when(n <= WINDOWS * WINDOW, t).otherwise(F.concat_ws("\n", parts_of))
+    known = usable(labels, label, parts, held_out)
+    chosen = known.where("y = 1").orderBy(order, "doc_id").limit(most).unionAll(known.where("y = 0").orderBy(order, "doc_id").limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", whole.alias("text"), "y").where(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
     # Copies of an id beyond the first say nothing new.
-    got = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
+    got = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(order, "doc_id").toArrow()
     return list(zip(got["text"].to_pylist(), got["y"].to_pylist(), strict=True))
 
 
 def share_of_ones(labels: DataFrame, label: str, parts: int, held_out: int) -> float:
-    """Share of label 1 among all labelled rows outside the held-out fold; 0.5 if there is none."""
-    usable = labels.where(F.col(label).cast("int").isin(0, 1) & (fold(F.col("doc_id").cast("long"), parts) != held_out))
-    got = usable.agg(F.avg(F.col(label).cast("int"))).first()[0]
+    """Share of label 1 among all usable ids; 0.5 if there is none."""
+    got = usable(labels, label, parts, held_out).agg(F.avg("y")).first()[0]
     return 0.5 if got is None else min(0.99, max(0.01, got))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -75,10 +74,6 @@ def free(df: DataFrame, name: str) -> str:
 
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file on this machine."""
-    folder = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-    at = os.path.join(folder, name)
-    if not os.path.exists(at):
-        import public_tokenizers
+    import public_tokenizers
 
-        at = public_tokenizers.path(name)
-    return at
+    return str(public_tokenizers.path(name))

@@ -225,6 +225,104 @@ def test_toxicity_sees_every_disguise_that_it_prices():
             assert find(t) == toxicity.words_of(t, restorer) & lexicon.keys() == {word}, t
 
 
+def test_viterbi_finds_the_cheapest_path_of_the_lattice():
+    """All restorations of short words, priced one by one, against the decoder's."""
+    from collections import Counter
+
+    model = toxicity.CharacterModel(Counter({"moron": 9, "idiot": 9, "at": 30, "it": 30, "a": 20, "tool": 5}))
+
+    def price(written, letters):
+        """The least price of writing so for `letters`, by trying every reading of the first character."""
+        from functools import cache
+
+        def language(text):
+            out = 0.0
+            for w in text.split(" "):
+                s = f"  {w} "
+                out += sum(model.cost(s[i - 2 : i + 1]) for i in range(2, len(s)))
+            return out
+
+        @cache
+        def channel(i, j):
+            if i == len(written):
+                return 0.0 if j == len(letters) else math.inf
+            c, ways = written[i], []
+            sign = toxicity.IMITATES.get(c)
+            if sign is None and not c.isalnum():
+                ways.append(toxicity.GAP + channel(i + 1, j))
+                if j < len(letters) and letters[j] == " ":
+                    ways.append(channel(i + 1, j + 1))
+                return min(ways)
+            reads = [(c, 0.0)] if c.isalpha() else [(x, toxicity.SWAP) for x in sign] + [(c, toxicity.KEEP_SIGN)] * c.isalnum()
+            for x, extra in reads:
+                if j < len(letters) and letters[j] == x:
+                    ways.append(extra + channel(i + 1, j + 1))
+                if j and letters[j - 1] == x:
+                    ways.append(extra + toxicity.REPEAT + channel(i + 1, j))
+            if sign is not None:
+                ways.append(toxicity.DROP + channel(i + 1, j))
+            return min(ways, default=math.inf)
+
+        return channel(0, 0) + language(letters)
+
+    import itertools
+
+    for written in ("m0ron", "id10t", "a a t", "t00l", "i t", "aatt", "1t", "a.t", "to0l"):
+        reads = [["", c] if c.isalpha() else ["", " "] if c in " ." else ["", c, *toxicity.IMITATES[c]] for c in written]
+        tried = {t for t in ("".join(x) for x in itertools.product(*reads)) if t and t == t.strip() and "  " not in t}
+        best = min(price(written, t) for t in tried)
+        got = toxicity.restore(written, model)
+        assert abs(price(written, got) - best) < 1e-9, (written, got)
+
+
+def test_gaps_of_any_width_and_words_in_a_row():
+    from collections import Counter
+
+    model = toxicity.CharacterModel(Counter({"moron": 40, "idiot": 40, "poop": 40, "the": 60, "thing": 9, "a": 50}))
+    lexicon = dict.fromkeys(["moron", "idiot", "poop"], 5.0)
+    find, restorer = toxicity.Finder(lexicon, model), toxicity.Restorer(model)
+    rnd = random.Random(2)
+    for t, want in [("m  o  r  o  n", {"moron"}), ("m o r o n m o r o n", {"moron"}), ("m\to\tr\to\tn", {"moron"}), ("p o o p", {"poop"}), ("a m o r o n", {"moron"}), ("the m o r o n i d i o t thing", {"moron", "idiot"}), (" ".join("moron" * 40), {"moron"}), ("m" + "o" * 200 + "ron", {"moron"}), ("x" * 60 + "moron", set())]:
+        assert find(t) == want == toxicity.words_of(t, restorer) & lexicon.keys(), t[:40]
+    for _ in range(300):
+        t = "".join(rnd.choice(["m", "o", "r", "n", "0", "i", "d", "1", "t", " ", "  ", ".", "-", "!", "$", "\n", "the ", "É"]) for _ in range(rnd.randint(0, 40)))
+        assert find(t) == toxicity.words_of(t, restorer) & lexicon.keys(), t
+
+
+def test_contradictory_labels_and_copies_of_either_label(spark):
+    from quillspark.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] * 2 + [(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    got = sample(docs, labels, "toxic", 5, 0)
+    held = {i for i in range(8) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sorted(got) == sorted((f"text {i}", i % 2) for i in set(range(8)) - held - {1})
+    assert toxicity.without_copies([({"a", "b", "c", "d"}, 0), ({"a", "b", "c", "d"}, 0), ({"a", "b", "c", "d"}, 1)]) == [({"a", "b", "c", "d"}, 0), ({"a", "b", "c", "d"}, 1)]
+
+
+def test_every_sampled_text_is_in_the_dictionary():
+    texts = [f"<{i:05d}>" * 200 for i in range(1500)]
+    held = quality._gather(texts)
+    assert len(held) == quality.DICTIONARY and all(t[:7].encode() in held for t in texts)
+    small = quality._gather(texts, 1 << 16)
+    assert len(small) == 1 << 16 and len(quality._gather(["short"] * 3, 400)) == 400 and quality._gather([]) == b""
+
+
+def test_quality_features_match_plain_compression():
+    import zstandard
+
+    good, bad = b"the good text of the land " * 9, b"BUY!! NOW!! " * 9
+    text = "the good land " * 700
+    size = []
+    for d in (good, bad):
+        tool = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw = text.encode()
+        size.append(sum(len(tool.compress(raw[i : i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK)))
+    value = (size[1] - size[0]) / (len(text.encode()) + 32)
+    assert value > 0 and abs(quality.Sizes(good, bad).features(text)[0] - value) < 0.002
+    assert quality.Sizes(good, bad).features("") == (0.0, 0.0)
+
+
 # ---- language model ---------------------------------------------------------------------------------------
 
 
