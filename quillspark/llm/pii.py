@@ -1,11 +1,12 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Everything is a Spark SQL expression; no Python runs on executors.  Patterns start only where a run of
-their characters starts and use possessive repeats, so the time stays linear in the text's length.
+their characters starts and use possessive repeats, and the places of matches are running sums taken in
+chunks, so the time stays linear in the text's length and in the number of matches.
 
 A null text counts as empty.  Empty texts and empty tables give no spans.  Repeated rows give repeated
 rows.  The operator adds the columns named in its docstring; a column of that name in the input is
-replaced, all others are kept.
+replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ RULES = {
     "card": Kind(r"[0-9](?:[ -]?[0-9])++", "", 0.7, r"card|visa|master|amex|credit|pay"),
     "phone": Kind(r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, r"phone|tel|call|mobile|fax"),
     "iban": Kind(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", 0.8, r"iban|account|bank|konto|compte|cuenta"),
-    "secret": Kind(r"(?i)(?<![a-z0-9])(?:api[_-]?key|secret|token|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[a-z0-9_/+=.-]{16,128}", "=:", 0.6, r"key|secret|token|password|auth"),
+    "secret": Kind(r"(?i)(?<![a-z0-9])(?:api[_-]?key|secret|token|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[a-z0-9_/+=.-]{16,}+", "=:", 0.6, r"key|secret|token|password|auth"),
     "ssn": Kind(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, r"\bssn\b|social security"),
 }
 
@@ -93,12 +94,38 @@ def _proposals(df: DataFrame, text: str, kind: str, pieces: str, hits: str) -> D
     return df.withColumn(pieces, F.when(F.size(hits) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
 
 
+#: Numbers that one accumulator lists; an accumulator is copied with each number that it gets.
+CHUNK = 128
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column) -> Column:
+    """The sum of all earlier numbers at each place of an array<int>."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+    inside = lambda x: F.aggregate(x, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["sums"], F.array(a["at"])).alias("sums")))
+
+    def in_chunks(x: Column, level: int) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: inside(F.slice(x, i * CHUNK + 1, F.lit(CHUNK))))
+
+        def moved(made: Column) -> Column:
+            totals = F.transform(made, lambda m: m["at"])
+            before = in_chunks(totals, level - 1) if level else inside(totals)["sums"]
+            return F.flatten(F.zip_with(made, before, lambda m, b: F.transform(m["sums"], lambda n: n + b)))
+
+        return _let(chunks, moved)
+
+    return in_chunks(numbers, 1)
+
+
 def _spans(kind: str, pieces: Column, hits: Column) -> Column:
     """array<struct<start, rank, end, kind, validated, score>> of the kind's accepted spans, in code points."""
     rule = RULES[kind]
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    zipped = F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("p"), F.coalesce(F.length(h), F.lit(0)).alias("h")))
-    starts = F.aggregate(zipped, zero, lambda a, z: F.struct((a["at"] + z["p"] + z["h"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + z["p"])).alias("starts")), lambda a: a["starts"])
+    lengths = F.zip_with(pieces, hits, lambda p, h: F.length(p) + F.coalesce(F.length(h), F.lit(0)))
+    starts = F.zip_with(running(lengths), pieces, lambda at, p: at + F.length(p))
 
     def one(start: Column, i: Column, hit: Column) -> Column:
         nearby = F.lower(F.concat(F.substring(pieces[i], -48, 48), F.lit(" "), F.substring(pieces[i + 1], 1, 24)))
@@ -118,7 +145,8 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
     """
     columns = [c for c in df.columns if c != out]
     row, hidden = "__row", "__pii_text"
-    df = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias(row), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(hidden))
+    kept = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0))
+    df = df.select(kept.alias(row), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(hidden))
     for kind in KINDS:
         df = _proposals(df, hidden, kind, f"__{kind}_p", f"__{kind}_h")
     found = [F.when(F.size(f"__{k}_h") > 0, _spans(k, F.col(f"__{k}_p"), F.col(f"__{k}_h"))) for k in KINDS]
