@@ -6,7 +6,8 @@ longer templates neighbouring diagonals are merged, which bridges words put in o
 accepted if enough of the template's k-grams lie on it in order of magnitude of its length.
 
 A null text counts as empty: no words, no labels, score 0, first and last word null.  Empty tables give no
-rows; repeated rows give repeated rows; other columns are kept.
+rows; repeated rows give repeated rows.  The columns named by `keep` are kept, unless they have the name of
+a result, which then stands in their place; other columns are dropped.  Texts are scanned whole, at any length.
 """
 
 from __future__ import annotations
@@ -117,6 +118,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """The `keep` columns and OUT: words, base places with their first and last start, labels, score from 0 to 1."""
     spark = docs.sparkSession
     ship(spark)
+    keep = tuple(c for c in keep if c.lower() not in OUT)
     wide = docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("__t"))
     rows = materialize(_grams(wide, "__t").drop("__t").withColumn("__row", F.monotonically_increasing_id()))
     # A fixed list of under 200 rows.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free, materialize
+from .shared import discard, free, materialize
 
 BITS, LEVELS, TOTAL = 12, 3, 63
 
@@ -51,20 +51,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     return w.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("final") * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def thresholds(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, small: int = 100_000) -> DataFrame:
+def thresholds(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """From (source, size, u): source, source_size, target, whole (copies of every document), below (documents with u below get one more)."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(totals, weights, share, cap)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = materialize(plan.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
-    few = plan.count() <= small
-    side = F.broadcast if few else (lambda d: d)
     bounds = plan.select(F.col("source").alias("s"), "need", F.lit(0).cast("long").alias("prefix"))
     for level in range(1, LEVELS + 2):
         last = level == LEVELS + 1
         shift = 0 if last else TOTAL - BITS * level
         above = TOTAL - BITS * (level - 1)
-        inside = sized.join(side(bounds), sized["source"].eqNullSafe(bounds["s"]) & (F.shiftright("u", above) == F.col("prefix") if level > 1 else F.lit(True)))
+        inside = sized.join(bounds, sized["source"].eqNullSafe(bounds["s"]) & (F.shiftright("u", above) == F.col("prefix") if level > 1 else F.lit(True)))
         cells = inside.groupBy("s", "need", F.shiftright("u", shift).alias("cell")).agg(F.sum("size").alias("n"))
         run = Window.partitionBy("s").orderBy("cell")
         summed = cells.withColumn("upto", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0)))
@@ -77,24 +75,27 @@ def thresholds(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
         else:
             cell = F.coalesce(F.col("edge.cell"), F.col("top"))
             bounds = materialize(found.select("s", F.coalesce(F.col("edge.left"), F.col("need")).alias("need"), cell.alias("prefix")))
-    joined = plan.join(side(ends), plan["source"].eqNullSafe(ends["s"]), "left")
+    joined = plan.join(ends, plan["source"].eqNullSafe(ends["s"]), "left")
     return joined.select("source", "source_size", "target", "whole", F.when(F.col("need") > 0, F.coalesce("below", F.lit(0))).otherwise(0).cast("long").alias("below"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix takes the document); such columns of the input are replaced.
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", into: str | None = None, **how) -> DataFrame:
+    """docs with size, source_size, target and copies (how often the mix takes the document).
 
-    `how`: weights, share, cap of `thresholds`.
+    With `into`, these four are the fields of one column of that name; else columns of their names in the
+    input are replaced.  `how`: weights, share, cap of `thresholds`.  The limits, a row a source, are
+    broadcast if Spark finds them small enough.
     """
-    names = ("size", "source_size", "target", "copies")
+    names = (into,) if into else ("size", "source_size", "target", "copies")
     kept = [c for c in docs.columns if c not in names]
     t, s = F.col(f"`{text}`").cast("string"), F.col(f"`{source}`").cast("string")
     u = draw(F.col(f"`{doc_id}`").cast("string"), t)
     sized = materialize(docs.select(s.alias("source"), words(t).alias("size"), u.alias("u")))
     side = free(docs, "__limits")
     limits = materialize(thresholds(sized, **how).select(F.struct("source", "source_size", "target", "whole", "below").alias(side)))
-    few = limits.count() <= how.get("small", 100_000)
+    discard(sized)
     limit = lambda c: F.col(side).getField(c)
-    out = docs.join(F.broadcast(limits) if few else limits, s.eqNullSafe(limit("source")))
+    out = docs.join(limits, s.eqNullSafe(limit("source")))
     copies = limit("whole") + (u < limit("below")).cast("long")
-    return out.select(*(F.col(f"`{c}`") for c in kept), words(t).alias("size"), limit("source_size").alias("source_size"), limit("target").alias("target"), copies.alias("copies"))
+    made = [words(t).alias("size"), limit("source_size").alias("source_size"), limit("target").alias("target"), copies.alias("copies")]
+    return out.select(*(F.col(f"`{c}`") for c in kept), *([F.struct(*made).alias(into)] if into else made))
