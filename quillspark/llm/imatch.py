@@ -2,18 +2,20 @@
 
 The lexicon holds the terms whose document frequency lies between two shares of all documents.  A share
 bounds its size whatever the corpus: at most (distinct terms a document) / low share terms.  The first
-component is the classic one, the hash of a text's sorted distinct terms in the whole lexicon.  Each other
-component belongs to a random chain of nested lexicon subsets, each half of the one before (a term's own
-hash says how deep it stays), and hashes the text's terms in the smallest subset that has any: short and
-long texts alike keep components through edits.  A text without terms in the band uses all its terms; one
-without terms, its bytes.
-
-A null text counts as empty; equal texts have equal fingerprints.
+component is the classic one, the hash of a text's sorted distinct terms in the whole lexicon.  The others use
+randomised lexicons that are fixed beforehand: for each of CHAINS seeds, random subsets of a half, a quarter
+and so on down to 2^-HALVINGS of the lexicon.  Large subsets tell long texts apart only if nothing was
+changed; in the small ones long texts, too, keep components through edits.  A text without terms in the band
+uses all its terms; one without terms, its bytes.
+
+A null text counts as empty; equal texts have equal fingerprints, so repeated rows do.  An empty table gives
+no rows.  A column named like the result is replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from .shared import free, ship
 from .text import LOWER, SPACE, U64, Lookup, Tally, distinct_per_text, hashes, mix, signed, slices, tokens
 
-#: Randomised lexicons besides the whole one.
-SEEDS = 31
+#: Seeds of randomised lexicons, and how many ever smaller lexicons each has, besides the whole one.
+CHAINS, HALVINGS = 8, 10
 WIDTH = 8
 NONE = "-" * WIDTH
 
@@ -67,23 +69,24 @@ class Fingerprints:
         has = np.bincount(owner[known], minlength=n) > 0
         use = known | ~has[owner]
         values, owner = values[use], owner[use]
-        out = np.zeros((n, SEEDS + 1), dtype=np.uint64)
+        out = np.zeros((n, 1 + CHAINS * HALVINGS), dtype=np.uint64)
         edges = np.searchsorted(owner, np.arange(n + 1))
-        some = np.flatnonzero(np.diff(edges))
-        for s in range(SEEDS + 1):
-            drawn = mix(values + U64(0x1234567 * (s + 1)))
-            keyed = mix(drawn ^ U64(0xABCDEF0123456789))
-            if s and len(some):
-                # Nested subsets hold a half, a quarter, ... of the lexicon; the smallest that this text has a term of counts.
-                least = np.minimum.reduceat(drawn, edges[some])
-                depth = np.frexp(least.astype(np.float64))[1].clip(1, 64)
-                limit = np.zeros(n, dtype=np.uint64)
-                limit[some] = (U64(1) << (depth - 1).astype(np.uint64)) - U64(1) + (U64(1) << (depth - 1).astype(np.uint64))
-                keyed[drawn > limit[owner]] = 0
+
+        def summed(keyed: np.ndarray, owners: np.ndarray) -> np.ndarray:
             # The terms are distinct, so the sum of their hashes is a hash of the sorted set.
             total = np.zeros(len(keyed) + 1, dtype=np.uint64)
             np.cumsum(keyed, out=total[1:])
-            out[:, s] = total[edges[1:]] - total[edges[:-1]]
+            ends = edges if owners is owner else np.searchsorted(owners, np.arange(n + 1))
+            return total[ends[1:]] - total[ends[:-1]]
+
+        out[:, 0] = summed(mix(values ^ U64(0xABCDEF0123456789)), owner)
+        for chain in range(CHAINS):
+            # A term is in the lexicon of 2^-h of all terms if the first h bits of its draw are zero.
+            drawn, owners = mix(values + U64(0x1234567 * (chain + 1))), owner
+            for h in range(1, HALVINGS + 1):
+                kept = drawn < U64(1 << (64 - h))
+                drawn, owners = drawn[kept], owners[kept]
+                out[:, (chain * HALVINGS) + h] = summed(mix(drawn ^ U64(0xABCDEF0123456789)), owners)
         made = (mix(out) >> U64(32)).astype(np.uint32)
         made[out == 0] = 0
         for i in np.flatnonzero(np.diff(first) == 0):
@@ -92,7 +95,10 @@ class Fingerprints:
 
 
 def as_text(components: np.ndarray) -> str:
-    return "".join(f"{x:08x}" if x else NONE for x in components.tolist())
+    made = components.astype(">u4").tobytes().hex()
+    if components.all():
+        return made
+    return "".join(made[i * WIDTH : (i + 1) * WIDTH] if x else NONE for i, x in enumerate(components.tolist()))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -104,16 +110,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def lexicon(docs: DataFrame, text: str = "text", low: float = 0.0005, high: float = 0.02, most: int = 4_000_000) -> np.ndarray:
     """Hashes of the terms that between `low` and `high` of all documents hold.
 
-    The shares bound the result by (distinct terms a document) / low; beyond `most` terms the low share is
-    doubled until they fit, so that what is sent to tasks has a fixed bound.
+    The shares bound the result by (distinct terms a document) / low, so with the default of 0.0005 it
+    passes `most` only if documents have over 2000 distinct terms on average.  That is an error: nothing
+    is dropped to make it fit.
     """
     n = docs.count()
     counts = document_frequencies(docs, text)
-    kept = counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
-    got = kept.limit(most + 1).toArrow()
-    while got.num_rows > most:
-        low *= 2
-        got = counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).limit(most + 1).toArrow()
+    got = counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).limit(most + 1).toArrow()
+    if got.num_rows > most:
+        raise ValueError(f"over {most} terms lie between {low} and {high} of all documents; raise `low` or `most`")
     return np.sort(got["term"].to_numpy().view(np.uint64)) if got.num_rows else np.zeros(0, np.uint64)
 
 
@@ -136,17 +141,18 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", t
 
 
 def with_neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """Deal documents into ranges of doc_id, with each range's successor row copied to its end.
+    """Deal documents into `parts` ranges of doc_id, with each range's successor row copied to its end.
 
     Returns rows (bucket, extra, doc_id, text); `extra` marks the copy.  Documents stand in descending
     doc_id, null ids last, equal ids by text; after the last comes the first.  Only the ranges' bounds
-    and one id a range reach the driver and are broadcast, whatever the table's size.
+    and one id a range reach the driver and are broadcast: `parts` numbers, however many documents there are.
+    A range is sorted by Spark, which spills, and read as a stream, so its size isn't bounded by memory.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Nothing but doc_id is read to find the ranges.
     bounds = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    edges = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
+    edges = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")  # a constant, worked out once
 
     def halve(state: Column, _: Column) -> Column:
         mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
@@ -175,13 +181,14 @@ def compare_edited(docs: DataFrame, low: float = 0.0005, high: float = 0.02) ->
     """Fingerprints of every text and of its edited form, and how alike they are; see PAIRED for the columns.
 
     The edited form's last third (floor(n_chars / 3) code points) is replaced by as many first code points
-    of the next document; see with_neighbours for the order.  Texts are shuffled once.
+    of the next document; see with_neighbours for the order.  Texts are shuffled once.  Repeated ids and
+    null ids are documents like others; a single document is its own successor.
     """
     spark = docs.sparkSession
     ship(spark)
     band = spark.sparkContext.broadcast(lexicon(docs, low=low, high=high))
-    # About 2000 documents a range, however many there are.
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 2000)
+    # Two ranges a task on average, as the session deals its shuffles; more documents make longer ranges.
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = with_neighbours(docs, parts).repartition(parts // 2, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
