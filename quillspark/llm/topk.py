@@ -1,15 +1,18 @@
 """Exact top-k search by inner product: a KD-tree for each shard, searched best box first.
 
-Vectors become integers, floor(scale * x).  Equal (id, vector) rows are folded into one with a count;
-shards are hash buckets of about `shard_rows` vectors and queries come in blocks of `block_rows`, so a
-task holds one shard and one block whatever the table's size.  Every query first meets one shard to
-get a k-th score; that bound goes with it to all shards, where only boxes that can reach it are opened.
-Each shard returns at most k rows a query; their best k are kept by a partial aggregation.
+Vectors become integers, floor(scale * x).  Equal (id, vector) rows are folded into one with a count; shards
+are hash buckets of about `shard_rows` vectors.  Rows are sorted by shard with the vectors first: a task builds
+each shard's tree once and streams the queries past it, so it holds one shard and one batch of queries
+whatever the table's size, and what is shuffled grows with the vectors plus queries times shards.  Every
+query first meets one shard to get a k-th score; that bound goes with it to the other shards, where boxes are
+bounded as they are reached, the root first, and only those that can reach the bound are opened.  Each shard
+returns at most k rows a query; their best k are kept by a partial aggregation.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,27 +53,28 @@ class KDTree:
                 todo += [(lo, lo + mid, node, 0), (lo + mid, hi, node, 1)]
         self.points, self.low, self.high = points[self.order], np.array(lows), np.array(highs)
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """For each query and node, the highest inner product that a point in the node's box can have."""
-        zero = queries.dtype.type(0) if queries.dtype != object else 0
-        return np.maximum(queries, zero) @ self.high.T + np.minimum(queries, zero) @ self.low.T
-
-    def search(self, query: np.ndarray, bounds: np.ndarray, ids: np.ndarray, copies: np.ndarray, k: int, least) -> list[tuple]:
-        """The k best (score, id), equal scores by smaller id; nothing below `least` is sought."""
+    def search(self, query: np.ndarray, ids: np.ndarray, copies: np.ndarray, k: int, least) -> list[tuple]:
+        """The k best (score, id, copies), equal scores by smaller id; nothing below `least` is sought."""
         best: list[tuple] = []  # a heap with the worst first: (score, -id, copies)
         held, kth = 0, least
-        heap = [(-bounds[0], 0)]
+        zero = query.dtype.type(0) if query.dtype != object else 0
+        up, down = np.maximum(query, zero), np.minimum(query, zero)
+        # The highest inner product that a point in the node's box can have.
+        held_to = (lambda x: x) if query.dtype != object else np.frompyfunc(lambda x: max(-LONG, min(LONG, x)), 1, 1)
+        bound_of = lambda node: held_to(up @ self.high[node] + down @ self.low[node])
+        heap = [(-bound_of(0), 0)]
         while heap:
             bound, node = heapq.heappop(heap)
             if -bound < kth:
                 break
             if self.children[node] is not None:
                 for child in self.children[node]:
-                    if bounds[child] >= kth:
-                        heapq.heappush(heap, (-bounds[child], child))
+                    reach = bound_of(child)
+                    if reach >= kth:
+                        heapq.heappush(heap, (-reach, child))
                 continue
             lo, hi = self.spans[node]
-            scores = self.points[lo:hi] @ query
+            scores = held_to(self.points[lo:hi] @ query)
             for i in np.flatnonzero(scores >= kth):
                 at = self.order[lo + i]
                 if copies[at] > 0:
@@ -97,43 +101,69 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _exact(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in a type that holds every inner product exactly."""
-    top = lambda x: max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
-    most = top(points) * top(queries) * max(1, points.shape[1])
-    kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
-    return points.astype(kind), queries.astype(kind)
-
-
-def _searcher(k: int, leaf: int):
-    schema = pa.schema([("query_key", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64()), ("n", pa.int64())])
-
-    def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        if shard.num_rows and asked.num_rows:
-            points, queries = _exact(_matrix(shard["vec"]), _matrix(asked["vec"]))
-            tree = KDTree(points, leaf)
-            ids, copies = shard["vec_id"].to_numpy(), shard["n"].to_numpy().copy()
-            keys, own = asked["key"].to_numpy(), asked["own"].to_numpy()
-            row_of = {x: i for i, x in enumerate(shard["own"].to_pylist())}
-            least = asked["bound"].to_pylist()
-            bounds = tree.bounds(queries)
-            for i in range(len(queries)):
-                mine = row_of.get(own[i])
-                if mine is not None:
-                    copies[mine] -= 1
-                floor = least[i] if least[i] is not None else -float("inf")
-                for score, minus_id, n in tree.search(queries[i], bounds[i], ids, copies, k, floor):
-                    rows.append((int(keys[i]), max(-LONG, min(LONG, int(score))), -minus_id, n))
-                if mine is not None:
-                    copies[mine] += 1
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=schema)
+def _top(x: np.ndarray) -> int:
+    return max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
+
+
+class Shard:
+    """One shard's vectors, with a tree in the type that holds every inner product with a batch of queries exactly."""
+
+    def __init__(self, rows: pa.Table, leaf: int) -> None:
+        self.points, self.leaf = _matrix(rows["vec"]), leaf
+        self.ids, self.copies = rows["ident"].to_numpy(), rows["n"].to_numpy().copy()
+        self.row_of = {x: i for i, x in enumerate(rows["own"].to_pylist())}
+        self.top, self.trees = _top(self.points), {}
+
+    def answers(self, asked: pa.Table, k: int) -> Iterator[tuple[int, int, int, int]]:
+        """(query's key, score, id, copies) of the best rows of every query."""
+        queries = _matrix(asked["vec"])
+        most = self.top * _top(queries) * max(1, self.points.shape[1])
+        kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
+        if kind not in self.trees:
+            self.trees[kind] = KDTree(self.points.astype(kind), self.leaf)
+        queries, keys, least = queries.astype(kind), asked["own"].to_numpy(), asked["bound"].to_pylist()
+        for i in range(len(queries)):
+            mine = self.row_of.get(keys[i])  # a query leaves out one copy of its own row
+            if mine is not None:
+                self.copies[mine] -= 1
+            floor = least[i] if least[i] is not None else -float("inf")
+            for score, minus_id, n in self.trees[kind].search(queries[i], self.ids, self.copies, k, floor):
+                yield int(keys[i]), int(score), -minus_id, n
+            if mine is not None:
+                self.copies[mine] += 1
+
+
+def _meet(k: int, leaf: int):
+    """Answers from rows sorted by (dim, shard, asks): a shard's vectors, then its queries."""
+    names = ["query_key", "score", "vec_id", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        place, shard = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            marks = [table.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            changed = np.zeros(max(0, len(marks[0]) - 1), dtype=bool)
+            for x in marks:
+                changed |= x[1:] != x[:-1]
+            edges = [0, *(np.flatnonzero(changed) + 1), table.num_rows] if table.num_rows else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                here, rows = (marks[0][lo], marks[1][lo]), table.slice(lo, hi - lo)
+                if here != place:
+                    place, shard, held = here, None, []
+                if not marks[2][lo]:
+                    held.append(rows)
+                elif held or shard:
+                    if shard is None:
+                        shard, held = Shard(pa.concat_tables(held), leaf), []
+                    found = list(shard.answers(rows, k))
+                    if found:
+                        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
     return run, "query_key long, score long, vec_id long, n long"
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_id", vector: str = "embedding", scale: int = 1024, shard_rows: int = 8192, block_rows: int = 1024, leaf: int = 64) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_id", vector: str = "embedding", scale: int = 1024, shard_rows: int = 8192, leaf: int = 64) -> DataFrame:
     """For each row of `is_query` its k best others: query_id, rank (from 1), vec_id, score.
 
     Ties go to the smaller id.  Rows with a null id, or a vector that is null, empty or holds null or
@@ -146,31 +176,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_
     base = vectors.select(F.col(f"`{ident}`").cast("long").alias("vec_id"), quantize(vectors, vector, scale).alias("vec"), is_query.alias("asks"))
     base = base.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
     folded = base.groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks"))
-    folded = materialize(folded.withColumn("own", F.xxhash64("vec_id", "vec")).withColumn("dim", F.size("vec")))
-    sizes = folded.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("queries")).first()
+    folded = materialize(folded.withColumn("own", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
+    rows = folded.count()
     # Smaller shards for a small table, so that there is work for more than one task.
-    shards, blocks = max(1, -(-sizes["rows"] // shard_rows), min(48, sizes["rows"] // 512)), max(1, -(-sizes["queries"] // block_rows))
-    shard = F.pmod("own", F.lit(shards))
-    block = F.pmod(F.xxhash64(F.lit(7), "own"), F.lit(blocks))
-    candidates = folded.select("vec_id", "vec", "n", "own", "dim", shard.alias("shard"))
-    # Aliases give the queries columns of their own, apart from the candidates'.
-    queries = folded.where("asks").select(F.col("own").alias("key"), *(F.col(c).alias(c) for c in ("own", "vec", "dim")), block.alias("block"), F.lit(None).cast("long").alias("bound"))
-    run, schema = _searcher(k, leaf)
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        place = ["dim", "shard", "block"]
-        return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(run, schema)
-
-    # One shard for each block gives every query a first k-th score.
-    first = queries.withColumn("shard", F.pmod(F.col("block"), F.lit(shards)))
-    seed_shards = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.pmod("block", F.lit(shards)) == F.col("shard"))
-    found = materialize(meet(seed_shards, first))
+    shards = max(1, -(-rows // shard_rows), min(48, rows // 512))
+    shard = F.pmod(F.xxhash64("own"), F.lit(shards)).cast("int")
+    candidates = folded.select("dim", shard.alias("shard"), F.lit(False).alias("asks"), F.col("vec_id").alias("ident"), "own", "vec", "n", F.lit(None).cast("long").alias("bound"))
+    queries = folded.where("asks").select("dim", shard.alias("shard"), F.lit(True).alias("asks"), F.col("vec_id").alias("ident"), "own", "vec", "n", F.lit(None).cast("long").alias("bound"))
+    run, schema = _meet(k, leaf)
+
+    def meet(asked: DataFrame) -> DataFrame:
+        dealt = candidates.unionByName(asked).repartition(max(shards, 2), "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+        return dealt.mapInArrow(run, schema)
+
+    # Its own shard gives every query a first k-th score.
+    found = materialize(meet(queries))
     kth = found.groupBy("query_key").agg(F.min("score").alias("kth"), F.sum("n").alias("held")).where(F.col("held") >= k)
-    bounded = queries.drop("bound").join(kth.select(F.col("query_key").alias("key"), F.col("kth").alias("bound")), "key", "left")
-    everywhere = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    rest = everywhere.where(F.pmod("block", F.lit(shards)) != F.col("shard"))
-    spread = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.pmod("block", F.lit(shards)) != F.col("shard"))
-    both = found.unionByName(meet(spread, rest))
+    bounded = queries.drop("bound").join(kth.select(F.col("query_key").alias("own"), F.col("kth").alias("bound")), "own", "left")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != F.col("home")))
+    rest = bounded.withColumnRenamed("shard", "home").withColumn("shard", others).drop("home")
+    both = found.unionByName(meet(rest)) if shards > 1 else found
     # A shard's answers for a query are at most k rows, so no group holds more than k times the shards; folded in halves.
     salted = both.withColumn("salt", F.pmod(F.xxhash64("vec_id", "score"), F.lit(max(1, shards // 16))))
     best = lambda d, keys: d.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "n"))), 1, k).alias("top"))
