@@ -34,7 +34,7 @@ def test_topk_matches_brute_force(spark):
     rows = [(i, [rnd.choice([-1.0, -0.5, 0.25, 0.7]) for _ in range(6)]) for i in range(400)]
     rows += [(100, [0.1] * 6), (7, rows[7][1]), (200, rows[200][1]), (500, None), (600, []), (700, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (800, [float("nan")] * 6), (900, [1.0, 2.0]), (None, [0.5] * 6), (1000, [3.0e30] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, own int")
-    got = topk.search(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=50, block_rows=2, leaf=8).collect()
+    got = topk.search(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=50, leaf=8).collect()
     good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for at, (q, v) in enumerate(good):
@@ -78,6 +78,60 @@ def test_fingerprints_of_edited_texts(spark):
     assert imatch.compare_edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_and_likeness_match_sets_of_terms(spark):
+    """A second implementation on Python sets: which terms each lexicon keeps of each text."""
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ (x >> shift)) * factor) % 2**64
+        return x
+
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 900}" for _ in range(rnd.choice([3, 30, 300])))) for i in range(60)]
+    rows += [(100, rows[5][1]), (101, rows[5][1].upper()), (102, "nothing here is in the band"), (103, "")]
+    low, high, n = 0.04, 0.4, len(rows)
+    terms = {i: set(t.lower().split()) for i, t in rows}
+    often = {}
+    for ts in terms.values():
+        for t in ts:
+            often[t] = often.get(t, 0) + 1
+    band = {t for t, c in often.items() if low * n <= c <= high * n}
+
+    def parts(ts):
+        ts = (ts & band) or ts
+        out = [frozenset(ts)]
+        for chain in range(imatch.CHAINS):
+            draw = {t: mixed((hash_of(t) + 0x1234567 * (chain + 1)) % 2**64) for t in ts}
+            out += [frozenset(t for t in ts if draw[t] < 2 ** (64 - h)) for h in range(1, imatch.HALVINGS + 1)]
+        return out
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = imatch.lexicon(df, low=low, high=high)
+    assert sorted(held.tolist()) == sorted(hash_of(t) for t in band)
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(df, terms_in_band=held).collect()}
+    cut = {i: [f[j : j + imatch.WIDTH] for j in range(0, len(f), imatch.WIDTH)] for i, f in got.items()}
+    want = {i: parts(ts) for i, ts in terms.items() if ts}
+    for i in want:
+        assert [c == imatch.NONE for c in cut[i]] == [not s for s in want[i]]
+        for j in want:
+            assert [a == b for a, b in zip(cut[i], cut[j])] == [a == b for a, b in zip(want[i], want[j])], (i, j)
+    order = sorted(want, reverse=True)
+    near = {r["doc_id"]: r["near_next"] for r in imatch.compare_edited(df.where("doc_id <> 103"), low=low * n / (n - 1), high=high * n / (n - 1)).collect()}
+    for i, j in zip(order, order[1:]):
+        either = [(a, b) for a, b in zip(want[i], want[j]) if a or b]
+        assert abs(near[i] - sum(a == b for a, b in either) / len(either)) < 1e-12
+    assert got[100] == got[101] == got[5]
+
+
+def test_a_lexicon_too_large_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
+    try:
+        imatch.lexicon(df, low=0.1, high=1.0, most=3)
+    except ValueError:
+        return
+    raise AssertionError
+
+
 def test_fingerprint_keeps_clashing_columns(spark):
     df = spark.createDataFrame([("a b c", 1, "x"), ("a b c", 2, None), (None, 3, "z")], "text string, __text int, fingerprint string")
     got = imatch.fingerprint(df).orderBy("__text").collect()
@@ -87,6 +141,14 @@ def test_fingerprint_keeps_clashing_columns(spark):
 # ---- licenses ---------------------------------------------------------------------------------------------
 
 
+def test_a_kept_column_named_like_a_result_gives_way_and_long_texts_are_scanned_whole(spark):
+    long = "word " * 200_000 + "cc by end"
+    df = spark.createDataFrame([(1, long, 5, "a"), (2, None, 6, "b")], "doc_id long, text string, score int, __text string")
+    got = licenses.scan(df, keep=("doc_id", "score", "__text")).orderBy("doc_id")
+    assert got.columns == ["doc_id", "__text", *licenses.OUT]
+    assert [(r["score"], r["n_words"], r["first_word"], r["__text"]) for r in got.collect()] == [(1.0, 200_003, 200_000, "a"), (0.0, 0, None, "b")]
+
+
 def test_license_places(spark):
     texts = ["CC-BY cc by 4.0; all rights\nreserved", "General Public License general public", None, "", "all rights é reserved", "cc by " * 500, "Released under the MIT License.", "Permission is hereby granted, free of any charge, to any person obtaining a copy of this software and associated documentation files"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
@@ -360,6 +422,13 @@ def fill(sizes, weights, budget, cap=2.0):
     return target
 
 
+def test_the_mix_in_one_column_keeps_the_others(spark):
+    df = spark.createDataFrame([(i, "w w", "a", 99, 98) for i in range(9)], "doc_id long, text string, source string, size int, copies int")
+    got = mixing.mix(df, into="m").collect()
+    assert {(r["size"], r["copies"], r["m"]["size"]) for r in got} == {(99, 98, 2)}
+    assert abs(sum(r["m"]["copies"] * 2 for r in got) - got[0]["m"]["target"]) <= 2
+
+
 def test_mix_meets_its_targets(spark):
     rnd = random.Random(10)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 9)), rnd.choice(["a", "a", "a", "a", "b", "ä", "Z", None]), i) for i in range(3000)] + [(5000 + i, t, "edge", 0) for i, t in enumerate(EDGES)]
