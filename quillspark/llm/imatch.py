@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free, ship
+from .shared import free, ship, tidy
 from .text import LOWER, SPACE, U64, Lookup, Tally, distinct_per_text, hashes, mix, signed, slices, tokens
 
 #: Seeds of randomised lexicons, and how many ever smaller lexicons each has, besides the whole one.
@@ -119,6 +119,8 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.0005, high: floa
     got = counts.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).limit(most + 1).toArrow()
     if got.num_rows > most:
         raise ValueError(f"over {most} terms lie between {low} and {high} of all documents; raise `low` or `most`")
+    del counts
+    tidy(docs.sparkSession)
     return np.sort(got["term"].to_numpy().view(np.uint64)) if got.num_rows else np.zeros(0, np.uint64)
 
 
