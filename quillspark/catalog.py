@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import messages, text
-from .operators import assemble, consistency, glossary, intervals, metrics, sessionize, splice, structure
+from .operators import assemble, consistency, glossary, intervals, metrics, ring, sessionize, splice, structure
 from .plans import experiment
 from .sources import frames
 
@@ -332,6 +332,62 @@ def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.queue_depth(request_spans(spark, sf_dir), "lane", "s", "e")
 
 
+@query(
+    f"""WITH landed AS (SELECT * FROM ({ASSEMBLED_SQL}) WHERE arrival <> 3), every AS (SELECT conv_id, unnest(range(max(seq) + 1)) AS seq FROM landed GROUP BY conv_id)
+  SELECT conv_id, seq, text, l.conv_id IS NULL AS is_gap FROM (SELECT conv_id, seq FROM every UNION SELECT conv_id, seq FROM landed) e LEFT JOIN landed l USING (conv_id, seq)""".replace("l.conv_id IS NULL", "l.arrival IS NULL")
+)
+def assembly_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landed = assemble.first_wins(arrivals(spark, sf_dir), "conv_id").where("arrival <> 3")
+    return assemble.with_gaps(landed, "conv_id").select("conv_id", "seq", "text", "is_gap")
+
+
+@query(f"SELECT conv_id, seq, text, arrival FROM ({ASSEMBLED_SQL}) WHERE conv_id IN (SELECT conv_id FROM ({ASSEMBLED_SQL}) GROUP BY conv_id HAVING count(*) = max(seq) + 1)")
+def complete_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions without a hole; the check fails on any other."""
+    landed = assemble.first_wins(arrivals(spark, sf_dir), "conv_id")
+    whole = landed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("top")).where("n = top + 1").select("conv_id")
+    return assemble.assert_complete(landed.join(whole, "conv_id", "left_semi"), "conv_id").select("conv_id", "seq", "text", "arrival")
+
+
+CAP = 4
+TAKES_SQL = f"SELECT user_id, event_id, t, 1 + (event_id * 7919) % {30 * HOUR} AS d, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM ({FRAMES_SQL})"
+
+
+@query(
+    f"""WITH RECURSIVE q AS MATERIALIZED ({TAKES_SQL}), s AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS starts, CAST(NULL AS BIGINT) AS ends, [0, 0, 0, 0]::BIGINT[] AS free FROM (SELECT DISTINCT user_id FROM q)
+    UNION ALL SELECT user_id, q.rn, greatest(t, free[1]), greatest(t, free[1]) + d, list_sort(list_append(free[2:], greatest(t, free[1]) + d)) FROM s JOIN q USING (user_id) WHERE q.rn = s.rn + 1)
+  SELECT q.user_id, event_id, starts, ends FROM q JOIN s USING (user_id, rn)"""
+)
+def capped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each of a user's requests starts and ends if four at most run at once."""
+    f = event_frames(spark, sf_dir).select("user_id", "event_id", "t_us", (1 + (F.col("event_id") * 7919) % F.lit(30 * HOUR)).cast("long").alias("takes"))
+    return assemble.capped(f, "user_id", "event_id", "t_us", "takes", CAP).select("user_id", "event_id", "starts", "ends")
+
+
+RING_SQL = f"""SELECT user_id, event_id, rn, ['write', 'write', 'confirm', 'write', 'pin'][event_id % 5 + 1] AS kind, CASE WHEN event_id % 5 IN (2, 4) THEN (event_id * 31) % 40000 ELSE 1600 + event_id % 900 END AS value FROM ({FRAMES_SQL})"""
+
+
+@query(
+    f"""WITH e AS ({RING_SQL}), r AS (SELECT *, coalesce(sum(value) FILTER (WHERE kind = 'write') OVER w, 0) AS written, coalesce(max(value) FILTER (WHERE kind = 'confirm') OVER w, 0) AS confirmed,
+    last_value(CASE WHEN kind = 'pin' THEN value END IGNORE NULLS) OVER w AS pinned FROM e WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)),
+  b AS (SELECT *, max(least(confirmed, pinned, written)) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS base FROM r),
+  q AS (SELECT *, (event_id * 13) % 30000 AS s0, (event_id * 13) % 30000 + 800 AS s1 FROM b)
+  SELECT user_id, event_id, CAST(written AS BIGINT) AS written, CAST(base AS BIGINT) AS base, CASE WHEN s0 < base THEN 'pruned' WHEN s1 > written THEN 'unwritten' END AS error,
+    CASE WHEN s0 >= base AND s1 <= written THEN CAST((s0 - base) * 2 AS BIGINT) ELSE -1 END AS from_byte, CASE WHEN s0 >= base AND s1 <= written THEN CAST((s1 - base) * 2 AS BIGINT) ELSE -1 END AS to_byte FROM q"""
+)
+def ring_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's recording holds after every event, and the bytes that a request then reads."""
+    i = F.col("event_id")
+    kind = F.get(F.array(*(F.lit(k) for k in ("write", "write", "confirm", "write", "pin"))), (i % 5).cast("int"))
+    value = F.when((i % 5).isin(2, 4), (i * 31) % 40000).otherwise(1600 + i % 900)
+    f = event_frames(spark, sf_dir).withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy("t_us", "event_id")))
+    held = ring.retention(f.select("user_id", "event_id", "at", kind.alias("kind"), value.alias("value")), "user_id", "at")
+    first = (i * 13) % 30000
+    got = held.withColumn("x", ring.sliced(first / 16000.0, (first + 800) / 16000.0, F.col("base"), F.col("written"), 16000))
+    byte = lambda c: F.coalesce(f"x.{c}", F.lit(-1)).alias(c)
+    return got.select("user_id", "event_id", "written", "base", "x.error", byte("from_byte"), byte("to_byte"))
+
+
 # ---- terms ------------------------------------------------------------------------------------------------
 
 _COMMON_SQL = "[" + ", ".join(f"'{w}'" for w in sorted(set(text.COMMON))) + "]"
@@ -376,6 +432,17 @@ def carryover_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.carryover(turn_terms(spark, sf_dir), table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
+@query(
+    f"""WITH found AS MATERIALIZED ({TERMS_SQL}), seen AS (SELECT c.conv_id, c.turn, f.core, count(*) AS n, coalesce(arg_min(f.term, f.turn) FILTER (WHERE regexp_matches(f.term, '^[A-Z]')), arg_min(f.term, f.turn)) AS display
+    FROM conversations c JOIN found f ON f.conv_id = c.conv_id AND f.turn < c.turn GROUP BY c.conv_id, c.turn, f.core),
+  taken AS (SELECT conv_id, turn, list(display ORDER BY n DESC, length(core) DESC, core)[1:100] AS terms FROM seen GROUP BY conv_id, turn)
+  SELECT conv_id, turn, coalesce(array_to_string(terms, ' '), '') AS carried FROM conversations LEFT JOIN taken USING (conv_id, turn)"""
+)
+def carried_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that each turn is pinned to by those before it."""
+    return glossary.carried(turn_terms(spark, sf_dir), table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumn("carried", F.array_join("carried", " "))
+
+
 @query(
     """SELECT conv_id, turn, right(coalesce((SELECT string_agg(trim(p.text), ' ' ORDER BY p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND trim(p.text) <> ''), ''), 200) AS tail FROM conversations c"""
 )
@@ -469,7 +536,38 @@ def seam_splice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "seam", "overlap_len", (F.col("overlap_len") > 0).alias("aligned"), splice.spliced_text(sure(F.col("left")), sure(F.col("right")), F.col("overlap_len")).alias("spliced"))
 
 
-@query()
+LIVE_SQL = rf"""SELECT *, lag(w) OVER o AS before FROM (SELECT conv_id, turn, forced, is_gap, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM ({TURNS_SQL})) WINDOW o AS (PARTITION BY conv_id ORDER BY turn)"""
+
+
+@query(
+    f"""WITH live AS (SELECT conv_id, turn, (conv_id + turn) % 2 = 0 AS forced, is_gap, list_concat(coalesce(before[greatest(1, len(before) - (conv_id + turn) % 4 + 1):] , []), w) AS w FROM ({LIVE_SQL})),
+  s AS (SELECT *, lag(w) OVER o AS l, lag(forced) OVER o AS lf, lag(is_gap) OVER o AS lg, lag(turn) OVER o AS lt FROM live WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+  n AS (SELECT *, list_transform(l, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS a, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS b FROM s WHERE lf AND NOT lg AND NOT is_gap),
+  o AS (SELECT *, coalesce(list_max(list_filter(range(2, least(len(l), len(w), 15) + 1), lambda m: len(list_filter(range(1, m + 1), lambda i: a[len(a) - m + i] = b[i] AND b[i] <> '')) / m >= 0.6)), 0) AS k FROM n)
+  SELECT conv_id, turn, CAST(k AS INTEGER) AS overlap_len, k > 0 AS aligned, trim(array_to_string(l, ' ') || ' ' || array_to_string(w, ' ')) AS raw_concat,
+    CASE WHEN k > 0 THEN array_to_string(list_concat(l[1:len(l) - k], list_transform(range(1, k + 1), lambda i: CASE WHEN (len(l) - k + i + lt) % 10 >= (i + turn) % 10 THEN l[len(l) - k + i] ELSE w[i] END), w[k + 1:]), ' ')
+      ELSE array_to_string(list_filter([array_to_string(l, ' '), '{splice.MARK}', array_to_string(w, ' ')], lambda x: x <> ''), ' ') END AS spliced, k = 0 AS marker FROM o"""
+)
+def seam_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn that follows a forced cut put together with the one before, whose last words it begins with."""
+    t, inside = turns(spark, sf_dir), Window.partitionBy("conv_id").orderBy("turn")
+    live = t.withColumn("w", text.words_of(F.col("text"))).withColumn("before", F.lag("w").over(inside))
+    k = ((F.col("conv_id") + F.col("turn")) % 4).cast("int")
+    tail = F.when(k > 0, F.slice("before", F.greatest(F.lit(1), F.size("before") - k + 1), k)).otherwise(F.array().cast("array<string>"))
+    words = F.concat(F.coalesce(F.when(F.size("before") > 0, tail), F.array().cast("array<string>")), F.col("w"))
+    sure = F.transform("__w", lambda w, i: F.struct(w.alias("text"), ((i + 1 + F.col("turn")) % 10 / 10).alias("confidence")))
+    live = live.withColumn("__w", words).select("conv_id", "turn", "is_gap", ((F.col("conv_id") + F.col("turn")) % 2 == 0).alias("forced"), F.array_join("__w", " ").alias("text"), sure.alias("words"))
+    return splice.neighbours(live, "conv_id", "turn")
+
+
+@query(
+    r"""WITH RECURSIVE p AS MATERIALIZED (SELECT conv_id, turn, r, h, len(r) AS n, len(h) AS m FROM (SELECT conv_id, turn, h, lag(h) OVER w AS r, lag(text) OVER w AS before
+    FROM (SELECT conv_id, turn, text, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_\s]', '', 'g'), '\S+') AS h FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE before IS NOT NULL),
+  d AS (SELECT conv_id, turn, 0 AS k, 0 AS i, 0 AS v, CAST(NULL AS INTEGER) AS u FROM p UNION ALL
+    SELECT conv_id, turn, k + 1, i + s, min(CASE WHEN s = 0 THEN v + 1 ELSE least(v + 1, u + CASE WHEN r[i + 1] = h[k - i] THEN 0 ELSE 1 END) END)::INTEGER, min(CASE WHEN s = 0 THEN v END)::INTEGER
+    FROM (SELECT *, unnest([0, 1]) AS s FROM d) JOIN p USING (conv_id, turn) WHERE i + s <= n AND k + 1 - i - s <= m GROUP BY conv_id, turn, k, i + s)
+  SELECT conv_id, turn, v AS errors, CAST(n AS INTEGER) AS ref_words, CASE WHEN n > 0 THEN round(v / n, 6) WHEN m > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS wer FROM p JOIN d USING (conv_id, turn) WHERE k = n + m AND i = n"""
+)
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors of each turn against the one before."""
     c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
@@ -483,7 +581,8 @@ def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
   m AS (SELECT user_id, len(p) AS predicted, len(q) AS truth, list_reduce(list_prepend({{'n': 0::BIGINT, 'u': []::BIGINT[], 'x': 0::BIGINT}}, list_transform(p, lambda x: {{'n': 0::BIGINT, 'u': []::BIGINT[], 'x': x}})),
     lambda a, y: CASE WHEN len(list_filter(range(1, len(q) + 1), lambda i: NOT list_contains(a.u, i) AND abs(q[i] - y.x) <= {2 * HOUR})) = 0 THEN a
       ELSE {{'n': a.n + 1, 'u': list_append(a.u, list_filter(range(1, len(q) + 1), lambda i: NOT list_contains(a.u, i) AND abs(q[i] - y.x) <= {2 * HOUR})[1]), 'x': 0::BIGINT}} END).n AS hits FROM l)
-  SELECT user_id, CAST(predicted AS BIGINT) AS predicted, CAST(truth AS BIGINT) AS truth, hits FROM m"""
+  SELECT user_id, CAST(predicted AS BIGINT) AS predicted, CAST(truth AS BIGINT) AS truth, hits, CASE WHEN predicted + truth = 0 THEN 1.0 WHEN predicted = 0 THEN 0.0 ELSE hits / predicted END::DOUBLE AS precision,
+    CASE WHEN predicted + truth = 0 THEN 1.0 WHEN truth = 0 THEN 0.0 ELSE hits / truth END::DOUBLE AS recall, CASE WHEN predicted + truth = 0 THEN 1.0 ELSE 2 * hits / (predicted + truth) END::DOUBLE AS f1 FROM m"""
 )
 def boundary_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = event_frames(spark, sf_dir)
@@ -491,7 +590,7 @@ def boundary_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.col("t_us") + (F.floor(F.col("t_us") / 1_000_000) % 20) * (HOUR // 4)
     lists = d.groupBy("user_id").agg(F.collect_list(F.when(F.col("d") >= PARAGRAPH, F.col("t_us"))).alias("p"), F.collect_list(F.when(F.col("d") >= SECTION, moved)).alias("q"))
     scored = metrics.boundary_f1(lists, "p", "q", 2 * HOUR)
-    return scored.select("user_id", F.size("p").cast("long").alias("predicted"), F.size("q").cast("long").alias("truth"), F.col("hits").cast("long").alias("hits"))
+    return scored.select("user_id", F.size("p").cast("long").alias("predicted"), F.size("q").cast("long").alias("truth"), F.col("hits").cast("long").alias("hits"), "precision", "recall", "f1")
 
 
 TERM_PAIRS = [("the", "teh"), ("and", "adn"), ("with", "from"), ("that", "this")]
@@ -572,3 +671,23 @@ def response_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def abc_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three-condition comparison over the generated demo session, against its known integers."""
     return experiment.compare(spark)
+
+
+@query(
+    """SELECT event_id, printf('{"type":"pending","seq":%d,"t_start":%d.%d,"t_end":%d.%d,"duration_s":%d.0,"lead_pause":0.5,"forced":%s,"done":%d,"total":%d}', event_id % 50, event_id % 90, event_id % 10, event_id % 90 + 7, event_id % 10, 7, CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, event_id % 5, 9) AS message,
+  event_id % 200 > 110 AS too_long, CASE WHEN event_id % 2 = 0 THEN 'audio.wav' ELSE 'audio.pcm' END AS filename, (event_id % 7) * 2 / 4.0 AS seconds, 'Technical dictation; keep terminology consistent. Recent context: ' || event_type AS prompt FROM events"""
+)
+def messages_and_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending messages, limits, file parts, lengths and prompts by formula."""
+    i = F.col("event_id")
+    start = (i % 90) + (i % 10) / 10
+    segment = F.struct((i % 50).alias("seq"), start.alias("t_start"), (start + 7).alias("t_end"), F.lit(0.5).alias("lead_pause"), (i % 3 == 0).alias("forced"))
+    audio = F.repeat(F.lit("ab"), (i % 7).cast("int")).cast("binary")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        messages.pending_json(segment, i % 5, F.lit(9)).alias("message"),
+        messages.too_long((i % 200).cast("double")).alias("too_long"),
+        messages.audio_part(F.when(i % 2 == 0, "wav").otherwise("pcm"))["filename"].alias("filename"),
+        text.pcm_seconds(audio, 1, 2).alias("seconds"),
+        glossary.prompt(F.col("event_type")).alias("prompt"),
+    )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +40,38 @@ def assert_complete(results: DataFrame, key: str, seq: str = "seq") -> DataFrame
     return results.withColumn("__ok", F.when(n == top + 1, True).otherwise(F.raise_error(told).cast("boolean"))).where("__ok").drop("__ok")
 
 
+def with_gaps(results: DataFrame, key: str, seq: str = "seq", first: int = 0) -> DataFrame:
+    """The results and a row for each missing number, with is_gap; a gap's other columns are null."""
+    holes = missing(results, key, seq, first).withColumnRenamed("missing", seq)
+    return results.withColumn("is_gap", F.lit(False)).unionByName(holes.withColumn("is_gap", F.lit(True)), allowMissingColumns=True)
+
+
+def capped(requests: DataFrame, key: str, order: str, arrives: str, takes: str, cap: int = 4) -> DataFrame:
+    """Add starts and ends of requests that at most `cap` workers serve, first come first served within a key.
+
+    A fold over rows that Spark sorts; its state is the times at which the workers are free.
+    """
+    names = [*requests.columns, "starts", "ends"]
+    at = [names.index(c) for c in (key, arrives, takes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = None, []
+        for batch in batches:
+            starts, ends = [], []
+            for k, t, d in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if k != now or not free:
+                    now, free = k, [0] * cap
+                begin = max(t, free[0])
+                heapq.heapreplace(free, begin + d)
+                starts.append(begin)
+                ends.append(begin + d)
+            yield pa.record_batch([*batch.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=names)
+
+    usable = requests.where(F.col(key).isNotNull() & F.col(arrives).isNotNull() & F.col(takes).isNotNull())
+    dealt = usable.repartition(key).sortWithinPartitions(key, arrives, order)
+    return dealt.mapInArrow(run, requests.schema.add("starts", "long").add("ends", "long"))
+
+
 def outcomes(attempts: DataFrame, key: str, seq: str, attempt: str = "attempt", outcome: str = "outcome", retries: int = 2, base_s: float = 0.5) -> DataFrame:
     """Where each request ends: the first attempt (from 0) that succeeds, can't be retried or is the last allowed.
 

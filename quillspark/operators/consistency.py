@@ -39,19 +39,33 @@ def _shorter(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, one)))
 
 
-#: Candidates of a session up to which its words are compared by length alone.
-SMALL = 2000
+#: Words up to this length meet by forms with letters left out, of which they have a bounded number.
+SHORT = 24
 
 
-def spelling_edges(found: DataFrame, key: str, distance: int = 2, small: int = SMALL) -> DataFrame:
+def _segments(word: Column, n: Column, parts: int, distance: int) -> Column:
+    """What a word that is `distance` edits away must share: one of `parts` equal segments, at most so far shifted."""
+
+    def of(length: Column, shift: Column) -> Column:
+        size = F.floor(length / parts).cast("int")
+        cut_ = lambda i: F.substring(word, i * size + 1 + shift, F.when(i == parts - 1, length - i * size).otherwise(size))
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.concat_ws("/", length.cast("string"), i.cast("string"), cut_(i)))
+
+    shifts = F.sequence(F.lit(-distance), F.lit(distance))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(n - distance, n + distance), lambda m: F.flatten(F.transform(shifts, lambda s: of(m, s))))))
+
+
+def spelling_edges(found: DataFrame, key: str, distance: int = 2) -> DataFrame:
     """Pairs of a session's cores within an edit distance of 1 or 2.
 
-    In a small session words of about the same length meet in an equi-join on the length.  In a larger one
-    that would be nearly all pairs; there words meet that share a form with as many letters left out, which
-    all words within the distance do.  The built-in distance decides in either case.
+    Words meet in equi-joins: shorter ones that share a form with as many letters left out, longer ones that
+    share one of distance + 1 segments, which all words within the distance do.  The built-in distance decides.
     """
-    sized = found.select(key, "core", "first", F.count(F.lit(1)).over(Window.partitionBy(key)).alias("many"))
-    near = F.levenshtein("a", "b", distance).between(0, distance)
+    n = F.length("core")
+    levels = [F.array("core")]
+    for _ in range(distance):
+        levels.append(_shorter(levels[-1]))
+    forms = F.array_distinct(F.concat(*levels))
 
     def met(rows: DataFrame, mine: Column, theirs: Column) -> DataFrame:
         left = rows.select(F.col(key), F.col("core").alias("a"), F.col("first").alias("one"), F.explode(mine).alias("sign"))
@@ -59,14 +73,12 @@ def spelling_edges(found: DataFrame, key: str, distance: int = 2, small: int = S
         both = left.join(right, (F.col(key) == F.col("k2")) & (F.col("sign") == F.col("s2")) & (F.col("one") < F.col("two")))
         return both.select(key, "a", "b")
 
-    n = F.length("core")
-    by_length = met(sized.where(F.col("many") <= small), F.sequence(n - distance, n + distance), F.array(n)).where(near)
-    levels = [F.array("core")]
-    for _ in range(distance):
-        levels.append(_shorter(levels[-1]))
-    forms = F.array_distinct(F.concat(*levels))
-    by_form = met(sized.where(F.col("many") > small), forms, forms).distinct().where(near)
-    return by_length.unionByName(by_form)
+    own = F.floor(n / (distance + 1)).cast("int")
+    cut_ = lambda i: F.substring(F.col("core"), i * own + 1, F.when(i == distance, n - i * own).otherwise(own))
+    mine = F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.concat_ws("/", n.cast("string"), i.cast("string"), cut_(i)))
+    by_form = met(found.where(n <= SHORT + distance), forms, forms)
+    by_part = met(found.where(n > SHORT), mine, _segments(F.col("core"), n, distance + 1, distance))
+    return by_form.unionByName(by_part).distinct().where(F.levenshtein("a", "b", distance).between(0, distance))
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import core, is_term, term_tokens
@@ -60,14 +64,50 @@ def carryover(found: DataFrame, rows: DataFrame, key: str, order: str) -> DataFr
     return wide.select(key, order, total("new_terms"), total("seen"))
 
 
+def carried(found: DataFrame, rows: DataFrame, key: str, order: str, max_terms: int = MAX_TERMS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """For each row the register's budgeted terms of all rows before it, best first: what the next segment is pinned to.
+
+    A fold over rows that Spark sorts; its state is one session's register.
+    """
+    each = found.groupBy(key, order).agg(F.sort_array(F.collect_list(F.struct("core", "term"))).alias("__found"))
+    wide = rows.select(key, order).where(F.col(key).isNotNull() & F.col(order).isNotNull()).join(each, [key, order], "left")
+    schema = rows.select(key, order).schema.add("carried", T.ArrayType(T.StringType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, register = None, {}
+        for batch in batches:
+            out = []
+            for k, terms_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != now:
+                    now, register = k, {}
+                left, taken = max_chars, []
+                for _, _, _, display in sorted((-n, -len(c), c, display) for c, (n, display) in register.items()):
+                    if len(taken) == max_terms:
+                        break
+                    if len(display) <= left:
+                        taken.append(display)
+                        left -= len(display)
+                out.append(taken)
+                for t in terms_ or []:
+                    n, display = register.get(t["core"], (0, t["term"]))
+                    upper = "A" <= t["term"][:1] <= "Z" and not "A" <= display[:1] <= "Z"
+                    register[t["core"]] = (n + 1, t["term"] if upper else display)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=[key, order, "carried"])
+
+    return wide.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
 def context_tail(rows: DataFrame, key: str, order: str, text: str = "text", chars: int = TAIL_CHARS) -> DataFrame:
     """For each row the last characters of the session's text before it.
 
-    Only the last `chars` non-empty texts can matter, so the window's frame is bounded.
+    Only the last `chars` texts with anything in them can matter: these are numbered, and the window's frame
+    is bounded by their numbers, so blank rows take no room in it.
     """
-    clean = rows.withColumn("__t", F.right(F.rtrim(F.trim(F.col(text))), F.lit(chars)))
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(-chars, -1)
-    joined = F.array_join(F.filter(F.collect_list("__t").over(before), lambda x: x != ""), " ")
+    clean = rows.withColumn("__t", F.nullif(F.right(F.rtrim(F.trim(F.col(text))), F.lit(chars)), F.lit("")))
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    clean = clean.withColumn("__n", F.count("__t").over(so_far))  # texts before this row
+    before = Window.partitionBy(key).orderBy("__n").rangeBetween(-chars, -1)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("__t").isNotNull(), F.struct("__n", "__t"))).over(before)), lambda x: x["__t"]), " ")
     return clean.select(key, order, F.right(joined, F.lit(chars)).alias("tail"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import core
 
@@ -51,3 +52,18 @@ def spliced_text(left: Column, right: Column, n: Column) -> Column:
     text = lambda words: F.array_join(F.transform(words, lambda w: w["text"]), " ")
     marked = F.concat_ws(" ", F.filter(F.array(text(left), F.lit(MARK), text(right)), lambda x: x != ""))
     return F.when(n > 0, text(spliced(left, right, n))).otherwise(marked)
+
+
+def neighbours(rows: DataFrame, key: str, order: str, words: str = "words", text: str = "text", forced: str = "forced", is_gap: str = "is_gap") -> DataFrame:
+    """A record for each row whose session's row before it was a forced cut, if neither is a gap.
+
+    words: structs of text and confidence.  Gives overlap_len, aligned, raw_concat, spliced and marker.
+    """
+    before = Window.partitionBy(key).orderBy(order)
+    old = F.lag(F.struct(F.col(words).alias("words"), F.col(text).alias("text"), F.col(forced).alias("forced"), F.col(is_gap).alias("is_gap"))).over(before)
+    met = rows.withColumn("__old", old).where(F.col("__old.forced") & ~F.col("__old.is_gap") & ~F.col(is_gap))
+    plain = lambda c: F.transform(F.col(c), lambda w: core(w["text"]))
+    n = F.col("overlap_len")
+    found = met.withColumn("__l", plain("__old.words")).withColumn("__r", plain(words)).withColumn("overlap_len", overlap_of_cores(F.col("__l"), F.col("__r")))
+    raw = F.trim(F.concat_ws(" ", F.coalesce("__old.text", F.lit("")), F.coalesce(text, F.lit(""))))
+    return found.select(key, order, n, (n > 0).alias("aligned"), raw.alias("raw_concat"), spliced_text(F.col("__old.words"), F.col(words), n).alias("spliced"), (n == 0).alias("marker"))

@@ -8,6 +8,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillspark import catalog
@@ -25,7 +26,7 @@ def duck():
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     columns = sorted(frame.columns)
     return columns, sorted((tuple(map(plain, r)) for r in frame[columns].itertuples(index=False)), key=str)
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import messages, text
 from quillspark import catalog
-from quillspark.operators import assemble, consistency, glossary, intervals, metrics, splice, structure
+from quillspark.operators import assemble, consistency, glossary, intervals, metrics, ring, splice, structure
 
 
 def one(df):
@@ -73,13 +73,86 @@ def test_clean_keeps_blocks_apart(spark):
     assert cleaned(spark, "kubernetes kubernetes", "", "kubernetis ok") == ["kubernetes kubernetes", "", "kubernetes ok"]
 
 
-def test_both_ways_to_near_spellings_agree(spark):
+def test_near_spellings_of_short_and_long_words(spark):
+    import random
+
+    rnd = random.Random(5)
     words = "kubernetes kubernetis coobernetes ingress ingres ingrss schedule scheduler schedular abcde abcdf abxyz".split()
+    for n in (22, 23, 24, 25, 26, 27, 60, 400):  # on both sides of the border between the two ways to meet
+        base = [rnd.choice("abcdefghij") for _ in range(n)]
+        for edits in (0, 1, 2, 2, 2, 3):
+            w = list(base)
+            for _ in range(edits):
+                at, what = rnd.randrange(len(w)), rnd.randrange(3)
+                w[at : at + (what != 0)] = [] if what == 1 else [rnd.choice("xyz")]
+            words.append("".join(w))
+    words = list(dict.fromkeys(words))
     df = spark.createDataFrame([("s", 0, " ".join(words))], "k string, seq int, text string")
     found = consistency.candidates(consistency.cores(df, "k", "seq"))
-    pairs = lambda small: {tuple(r)[1:] for r in consistency.spelling_edges(found, "k", small=small).collect()}
-    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if brute_wer(a, b) <= 2}
-    assert pairs(2000) == want == pairs(0)
+    got = {tuple(r)[1:] for r in consistency.spelling_edges(found, "k").collect()}
+    assert got == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= 2 and brute_wer(a, b) <= 2}
+
+
+def test_many_distinct_words_are_told_apart_and_too_many_are_an_error(spark, monkeypatch):
+    a = " ".join(f"w{i}" for i in range(3000))
+    df = spark.createDataFrame([(a, a + " more"), (a, a.replace("w7 ", ""))], "r string, h string")
+    assert [r["errors"] for r in metrics.word_errors(df, "r", "h").collect()] == [1, 1]
+    monkeypatch.setattr(metrics, "LETTERS", 100)
+    try:
+        metrics.word_errors(df, "r", "h").collect()
+    except Exception as e:
+        assert "distinct tokens" in str(e)
+        return
+    raise AssertionError
+
+
+def test_context_tail_passes_over_blank_rows(spark):
+    rows = [(0, "the first words")] + [(i, [None, "", "  "][i % 3]) for i in range(1, 300)] + [(300, "later")]
+    df = spark.createDataFrame([(1, i, t) for i, t in rows], "k int, seq int, text string")
+    got = {r["seq"]: r["tail"] for r in glossary.context_tail(df, "k", "seq").collect()}
+    assert got[0] == "" and {got[i] for i in range(1, 301)} == {"the first words"}
+
+
+def test_pinned_terms_come_from_earlier_rows_within_the_budget(spark):
+    rows = [("s", 0, "we use Kubernetes and Ingress"), ("s", 1, None), ("s", 2, "then kubernetes again"), ("s", 3, "end"), ("t", 0, "other")]
+    df = spark.createDataFrame(rows, "k string, seq int, text string")
+    found = glossary.terms(df, ["k", "seq"])
+    of = lambda **how: {(r["k"], r["seq"]): r["carried"] for r in glossary.carried(found, df, "k", "seq", **how).collect()}
+    assert of() == {("s", 0): [], ("s", 1): ["Kubernetes", "Ingress"], ("s", 2): ["Kubernetes", "Ingress"], ("s", 3): ["Kubernetes", "Ingress"], ("t", 0): []}
+    assert of(max_terms=1)["s", 3] == ["Kubernetes"] and of(max_chars=7)["s", 3] == ["Ingress"]
+
+
+def test_ring_forgets_what_is_confirmed_but_not_pinned(spark):
+    events = [("write", 100), ("confirm", 40), ("pin", 20), ("confirm", 90), ("pin", 95), ("write", 10), ("confirm", 500), ("pin", None), (None, 3)]
+    df = spark.createDataFrame([(1, i, k, v) for i, (k, v) in enumerate(events)], "k int, seq int, kind string, value long")
+    got = ring.retention(df, "k", "seq").orderBy("seq").collect()
+    assert [r["base"] for r in got] == [0, 40, 40, 40, 90, 90, 95, 95, 95] and got[-1]["written"] == 110
+    asked = spark.createDataFrame([(0.095, 0.105), (0.09, 0.1), (0.1, 0.2)], "s double, e double")
+    read = [tuple(r["x"]) for r in asked.select(ring.sliced(F.col("s"), F.col("e"), F.lit(95), F.lit(110), 1000).alias("x")).collect()]
+    assert read == [(None, 0, 20), ("pruned", None, None), ("unwritten", None, None)]
+
+
+def test_capped_requests_never_exceed_the_cap(spark):
+    rows = [("a", i, i // 3, 5 + i % 4) for i in range(40)] + [("b", 0, 7, 1), (None, 1, 1, 1)]
+    got = assemble.capped(spark.createDataFrame(rows, "k string, seq int, t long, d long"), "k", "seq", "t", "d", 4).collect()
+    one_ = [r for r in got if r["k"] == "a"]
+    assert len(got) == 41 and all(r["starts"] >= r["t"] and r["ends"] == r["starts"] + r["d"] for r in got)
+    assert max(sum(r["starts"] <= x["starts"] < r["ends"] for r in one_) for x in one_) == 4
+    assert [r["starts"] for r in sorted(one_, key=lambda r: r["seq"])] == sorted(r["starts"] for r in one_)
+
+
+def test_seam_records_need_a_forced_cut_and_no_gap(spark):
+    w = lambda *words: [(x, 0.5) for x in words]
+    rows = [(0, w("a", "b", "c", "d"), "a b c d", True, False), (1, w("c", "d", "e"), "c d e", False, False), (2, w("x"), "x", True, False), (3, [], None, True, True), (4, w("y", "z"), "y z", True, False), (5, w("q", "r"), "q r", False, False)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "k int, seq int, words array<struct<text:string,confidence:double>>, text string, forced boolean, is_gap boolean")
+    got = [tuple(r)[1:] for r in splice.neighbours(df, "k", "seq").orderBy("seq").collect()]
+    assert got == [(1, 2, True, "a b c d c d e", "a b c d e", False), (5, 0, False, "y z q r", f"y z {splice.MARK} q r", True)]
+
+
+def test_gap_rows_stand_for_missing_numbers(spark):
+    df = spark.createDataFrame([("s", 0, "a"), ("s", 3, "d")], "k string, seq int, text string")
+    got = sorted(tuple(r) for r in assemble.with_gaps(df, "k").select("seq", "text", "is_gap").collect())
+    assert got == [(0, "a", False), (1, None, True), (2, None, True), (3, "d", False)]
 
 
 def test_null_text_is_no_term(spark):
