@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import ship, tokenizer_path
 
-CACHE = 400_000
+CACHE = 150_000
 DOCS_A_TASK = 50_000
 # Unicode's white space.
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
