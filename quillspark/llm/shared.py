@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -61,12 +60,6 @@ def discard(*frames: DataFrame) -> None:
             place.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffles that nothing refers to any more, before a large one is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
