@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,16 +127,6 @@ def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.documents(t.withColumn("block", structure.render(F.col("text"), F.col("is_gap"), F.col("turn"), F.col("error"), True)), "conv_id", markdown=True)
 
 
-@query()
-def document_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each session as one nested JSON message with its counts."""
-    t = structured_turns(spark, sf_dir).withColumn("verbatim", F.when(F.col("is_gap"), "").otherwise(F.coalesce("text", F.lit(""))))
-    cleaned = consistency.clean(t, "conv_id", "turn", "verbatim")
-    t = t.join(cleaned, ["conv_id", "turn"]).withColumn("block", F.struct("turn", "verbatim", "clean", "is_gap", "forced", "error", "lead_ms"))
-    stats = structure.stats(t, "conv_id").select("conv_id", F.struct("done", F.col("sections"), "paragraphs", "forced", "gaps").alias("stats"))
-    return structure.nested(t, "conv_id").join(stats, "conv_id").select("conv_id", F.to_json(F.struct(F.lit("document").alias("type"), "sections", "stats")).alias("message"))
-
-
 # ---- sessions ---------------------------------------------------------------------------------------------
 
 
@@ -213,6 +203,25 @@ def spans_to_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.from_spans(spans)
 
 
+@query(f"SELECT user_id, CAST(rn - 1 AS BIGINT) AS idx, rn % 4 <> 0 AND sp AS is_speech, CASE WHEN rn % 4 <> 0 AND sp THEN 1.0 ELSE 0.0 END::DOUBLE AS probability FROM ({FRAMES_SQL})")
+def scripted_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech by a script that leaves every fourth frame out."""
+    f = event_frames(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("t_us", "event_id")).cast("long") - 1)
+    got = frames.scripted(f.select("user_id", "idx"), f.where("idx % 4 <> 3"), "user_id")
+    return got.select("user_id", "idx", "is_speech", frames.speech_probability(F.col("is_speech")).alias("probability"))
+
+
+RUN_ON_SQL = f"""WITH c AS (SELECT i AS clip, CASE WHEN i = 12 THEN 120 ELSE 34 END AS n, CASE WHEN i < 12 THEN i * 34 WHEN i = 12 THEN 0 ELSE (i - 1) * 34 END AS off, CASE WHEN i IN (11, 12) THEN 4000000 ELSE [800000, 1500000, 4000000][i % 3 + 1] END AS gap FROM (SELECT unnest(range(25)) AS i)),
+  b AS (SELECT *, coalesce(sum(n * 384000 + gap) OVER w, 0) AS start_us, coalesce(sum(n) OVER w, 0) AS before FROM c WINDOW w AS (ORDER BY clip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT 'demo' AS session, CAST(before + j AS BIGINT) AS word_idx, [{", ".join(f"'{w}'" for w in frames.VOCABULARY)}][(off + j) % {len(frames.VOCABULARY)} + 1] AS text, CAST(start_us + j * 384000 AS BIGINT) AS t_start, CAST(start_us + (j + 1) * 384000 AS BIGINT) AS t_end FROM (SELECT *, unnest(range(n)) AS j FROM b)"""
+
+
+@query(RUN_ON_SQL)
+def run_on_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated session with one long clip that has no pause, word by word."""
+    return intervals.timed_words(frames.run_on_clips(spark), "session", "clip", F.col("words"), F.col("gap_us"))
+
+
 # ---- timed words and ranges -------------------------------------------------------------------------------
 
 WORDS_SQL = r"""SELECT conv_id, CAST(before + p - 1 AS BIGINT) AS word_idx, word AS text, CAST(start_us + (p - 1) * 384000 AS BIGINT) AS t_start, CAST(start_us + p * 384000 AS BIGINT) AS t_end FROM (
@@ -349,6 +358,31 @@ def complete_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assert_complete(landed.join(whole, "conv_id", "left_semi"), "conv_id").select("conv_id", "seq", "text", "arrival")
 
 
+@query(
+    f"""WITH p AS (SELECT a.conv_id, a.seq, section_id, paragraph_id, forced, is_gap, row_number() OVER w - 1 AS n, max(arrival) OVER w AS ready_at FROM ({ASSEMBLED_SQL}) a JOIN ({STRUCTURED_SQL}) s ON s.conv_id = a.conv_id AND s.turn = a.seq WINDOW w AS (PARTITION BY a.conv_id ORDER BY a.seq)),
+  g AS (SELECT conv_id, ready_at, count(*) AS n, max(section_id) AS s, max(paragraph_id) AS p, count(*) FILTER (WHERE forced) AS f, count(*) FILTER (WHERE is_gap) AS g FROM p WHERE n = seq GROUP BY conv_id, ready_at)
+  SELECT conv_id, ready_at, CAST(sum(n) OVER w AS BIGINT) AS done, CAST(max(s) OVER w + 1 AS BIGINT) AS sections, CAST(max(p) OVER w + 1 AS BIGINT) AS paragraphs, CAST(sum(f) OVER w AS BIGINT) AS forced, CAST(sum(g) OVER w AS BIGINT) AS gaps FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY ready_at)"""
+)
+def document_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document's counts each time that an arrival lets it grow."""
+    known = structured_turns(spark, sf_dir).select("conv_id", F.col("turn").alias("seq"), "section_id", "paragraph_id", "forced", "is_gap")
+    return assemble.growth(assemble.first_wins(arrivals(spark, sf_dir), "conv_id").join(known, ["conv_id", "seq"]), "conv_id")
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS f FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+  o AS (SELECT conv_id, turn, CASE f WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS attempts, CASE f WHEN 2 THEN 'auth' WHEN 3 THEN 'retryable' WHEN 5 THEN 'media' ELSE 'ok' END AS outcome FROM r)
+  SELECT conv_id, turn AS seq, attempts, outcome, outcome <> 'ok' AS is_gap, 0.5 * (pow(2, attempts - 1) - 1) AS waited_s FROM o"""
+)
+def fault_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How requests end whose faults a table scripts: passing errors, lasting ones, both, none."""
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("seq"))
+    f = ((F.col("conv_id") + F.col("seq")) % 6).cast("int")
+    passing = F.when(f == 1, F.array(F.lit("timeout"))).when(f == 4, F.array(F.lit("server"), F.lit("timeout"))).when(f == 5, F.array(F.lit("server")))
+    faults = c.where(f != 0).select("conv_id", "seq", (f / 10).alias("latency_s"), F.when(f == 2, "auth").when(f == 3, "server").when(f == 5, "media").alias("raises"), passing.alias("transient"))
+    return assemble.outcomes(assemble.faulty(c, faults, "conv_id"), "conv_id", "seq")
+
+
 CAP = 4
 TAKES_SQL = f"SELECT user_id, event_id, t, 1 + (event_id * 7919) % {30 * HOUR} AS d, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM ({FRAMES_SQL})"
 
@@ -484,7 +518,7 @@ def consistency_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.remap(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
-@query(
+CLEAN_SQL = (
     REMAP_SQL
     + r""" SELECT c.conv_id, c.turn, CASE WHEN c.conv_id IN (SELECT conv_id FROM remap) THEN coalesce(t.joined, '') ELSE c.text END AS clean FROM conversations c LEFT JOIN (
   SELECT conv_id, turn, string_agg(coalesce(p[1] || replacement || p[3], token), ' ' ORDER BY pos) AS joined FROM (
@@ -492,30 +526,17 @@ def consistency_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, [regexp_extract(token, '^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_]*)$', 1), regexp_extract(token, '^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_]*)$', 2), regexp_extract(token, '^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_]*)$', 3)] AS p FROM (
   SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM conversations)))) w LEFT JOIN remap USING (conv_id, core)) GROUP BY conv_id, turn) t USING (conv_id, turn)"""
 )
+
+
+@query(CLEAN_SQL)
 def consistency_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.clean(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 # ---- seams and scores -------------------------------------------------------------------------------------
 
-SEAM_SQL = r"""WITH s AS (SELECT doc_id, w[1:12 + k] AS l, w[13:40] AS r FROM (SELECT doc_id, doc_id % 9 AS k, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents)),
-  n AS (SELECT *, list_transform(l, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS a, list_transform(r, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS b FROM s),
-  o AS (SELECT *, coalesce(list_max(list_filter(range(2, least(len(l), len(r), 15) + 1), lambda m: len(list_filter(range(1, m + 1), lambda i: a[len(a) - m + i] = b[i] AND b[i] <> '')) / m >= 0.6)), 0) AS overlap FROM n)
-  SELECT doc_id, CAST(overlap AS INTEGER) AS overlap_len, overlap > 0 AS aligned, CASE WHEN overlap > 0 THEN array_to_string(list_concat(l, r[overlap + 1:]), ' ') ELSE array_to_string(list_filter([array_to_string(l, ' '), '[⚠ seam]', array_to_string(r, ' ')], lambda x: x <> ''), ' ') END AS spliced FROM o"""
-
-
-@query(SEAM_SQL)
-def seam_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping parts of each document's opening words put together again."""
-    sure = lambda words: F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(1.0).alias("confidence")))
-    d = table(spark, sf_dir, "documents").select("doc_id", text.words_of(F.col("text")).alias("w"))
-    d = d.select("doc_id", F.slice("w", F.lit(1), (F.col("doc_id") % 9).cast("int") + 12).alias("l"), F.slice("w", 13, 28).alias("r"))
-    d = d.withColumn("overlap_len", splice.overlap(F.col("l"), F.col("r")))
-    return d.select("doc_id", "overlap_len", (F.col("overlap_len") > 0).alias("aligned"), splice.spliced_text(sure(F.col("l")), sure(F.col("r")), F.col("overlap_len")).alias("spliced"))
-
-
 SEAM_STEP = 28
-WHOLE_SEAM_SQL = rf"""WITH d AS (SELECT doc_id, doc_id % 9 AS k, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents),
+SEAM_SQL = rf"""WITH d AS (SELECT doc_id, doc_id % 9 AS k, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents),
   p AS (SELECT doc_id, unnest(list_transform(range(greatest(CAST(ceil(len(w) / {SEAM_STEP}) AS BIGINT) - 1, 1)), lambda i: {{'seam': i + 1, 'l': w[i * {SEAM_STEP} + 1:(i + 1) * {SEAM_STEP} + k], 'r': w[(i + 1) * {SEAM_STEP} + 1:(i + 2) * {SEAM_STEP} + k]}})) AS x FROM d),
   s AS (SELECT doc_id, x.seam AS seam, x.l AS l, x.r AS r FROM p),
   n AS (SELECT *, list_transform(l, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS a, list_transform(r, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS b FROM s),
@@ -523,8 +544,8 @@ WHOLE_SEAM_SQL = rf"""WITH d AS (SELECT doc_id, doc_id % 9 AS k, regexp_extract_
   SELECT doc_id, CAST(seam AS INTEGER) AS seam, CAST(overlap AS INTEGER) AS overlap_len, overlap > 0 AS aligned, CASE WHEN overlap > 0 THEN array_to_string(list_concat(l, r[overlap + 1:]), ' ') ELSE array_to_string(list_filter([array_to_string(l, ' '), '[⚠ seam]', array_to_string(r, ' ')], lambda x: x <> ''), ' ') END AS spliced FROM o"""
 
 
-@query(WHOLE_SEAM_SQL)
-def seam_splice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(SEAM_SQL)
+def seam_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's whole text in overlapping parts, put together again at each seam."""
     sure = lambda words: F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(1.0).alias("confidence")))
     cut = lambda words: splice.seams(F.col(words), SEAM_STEP, (F.col("doc_id") % 9).cast("int"))
@@ -536,6 +557,41 @@ def seam_splice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "seam", "overlap_len", (F.col("overlap_len") > 0).alias("aligned"), splice.spliced_text(sure(F.col("left")), sure(F.col("right")), F.col("overlap_len")).alias("spliced"))
 
 
+VERBATIM_SQL = f"(SELECT conv_id, turn, CASE WHEN is_gap THEN '' ELSE coalesce(text, '') END AS text FROM ({TURNS_SQL}))"
+SNAPSHOT = "type string, seq bigint, sections array<struct<section_id:bigint,paragraphs:array<struct<paragraph_id:bigint,blocks:array<struct<idx:bigint,block:struct<turn:bigint,verbatim:string,clean:string,is_gap:boolean,forced:boolean,error:string,lead_ms:bigint,seam:struct<overlap_len:int,spliced:string>>>>>>>>, stats struct<done:bigint,sections:bigint,paragraphs:bigint,forced:bigint,gaps:bigint>, final boolean"
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, message): each session as one nested JSON message with its seams and counts."""
+    t = structured_turns(spark, sf_dir).withColumn("verbatim", F.when(F.col("is_gap"), "").otherwise(F.coalesce("text", F.lit(""))))
+    cleaned = consistency.clean(t, "conv_id", "turn", "verbatim")
+    met = splice.neighbours(t.withColumn("words", messages.result(F.col("verbatim"))["words"]), "conv_id", "turn", text="verbatim")
+    seam = met.select("conv_id", "turn", F.struct("overlap_len", "spliced").alias("seam"))
+    t = t.join(cleaned, ["conv_id", "turn"]).join(seam, ["conv_id", "turn"], "left")
+    t = t.withColumn("block", F.struct("turn", "verbatim", "clean", "is_gap", "forced", "error", "lead_ms", "seam"))
+    stats = structure.stats(t, "conv_id").select("conv_id", F.struct("done", "sections", "paragraphs", "forced", "gaps").alias("stats"))
+    last = t.groupBy("conv_id").agg(F.max("turn").alias("seq"))
+    whole = structure.nested(t, "conv_id").join(stats, "conv_id").join(last, "conv_id")
+    return whole.select("conv_id", F.to_json(F.struct(F.lit("document").alias("type"), "seq", "sections", "stats", F.lit(True).alias("final"))).alias("message"))
+
+
+@query(
+    CLEAN_SQL.replace("FROM conversations", f"FROM {VERBATIM_SQL}").replace("WITH RECURSIVE ", f"""WITH RECURSIVE st AS MATERIALIZED ({STRUCTURED_SQL}), tot AS MATERIALIZED (SELECT conv_id, count(*) AS done, max(section_id) + 1 AS sections, max(paragraph_id) + 1 AS paragraphs, count(*) FILTER (WHERE forced) AS forced_blocks, count(*) FILTER (WHERE is_gap) AS gaps, max(turn) AS seq FROM st GROUP BY conv_id),
+  nb AS MATERIALIZED (SELECT conv_id, turn, l, w, list_transform(l, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS a, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS b FROM (
+    SELECT *, lag(w) OVER o AS l, lag(forced) OVER o AS lf, lag(is_gap) OVER o AS lg FROM (SELECT conv_id, turn, forced, is_gap, CASE WHEN is_gap THEN [] ELSE regexp_extract_all(coalesce(text, ''), '\\S+') END AS w FROM st) WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) WHERE lf AND NOT lg AND NOT is_gap),
+  sm AS MATERIALIZED (SELECT conv_id, turn, coalesce(list_max(list_filter(range(2, least(len(l), len(w), 15) + 1), lambda m: len(list_filter(range(1, m + 1), lambda i: a[len(a) - m + i] = b[i] AND b[i] <> '')) / m >= 0.6)), 0) AS k FROM nb),
+  """, 1).replace("SELECT c.conv_id, c.turn, CASE WHEN", "SELECT c.conv_id, c.turn, st.section_id::BIGINT AS section_id, st.paragraph_id::BIGINT AS paragraph_id, c.text AS verbatim, st.is_gap, st.forced, st.error, st.lead_ms, sm.k::INTEGER AS overlap_len, tot.done, tot.sections::BIGINT AS sections, tot.paragraphs::BIGINT AS paragraphs, tot.forced_blocks, tot.gaps, tot.seq, CASE WHEN", 1)
+    + " JOIN st ON st.conv_id = c.conv_id AND st.turn = c.turn JOIN tot ON tot.conv_id = c.conv_id LEFT JOIN sm ON sm.conv_id = c.conv_id AND sm.turn = c.turn"
+)
+def document_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks that each session's message holds, read back from it."""
+    m = snapshots(spark, sf_dir).select("conv_id", F.from_json("message", SNAPSHOT).alias("m"))
+    s = m.select("conv_id", "m.seq", "m.stats.*", F.explode("m.sections").alias("s")).withColumnRenamed("forced", "forced_blocks")
+    p = s.select("*", "s.section_id", F.explode("s.paragraphs").alias("p"))
+    b = p.select("*", "p.paragraph_id", F.explode("p.blocks").alias("b")).drop("s", "p")
+    return b.select("conv_id", "seq", "done", "sections", "paragraphs", "forced_blocks", "gaps", "section_id", "paragraph_id", "b.block.turn", "b.block.verbatim", "b.block.clean", "b.block.is_gap", "b.block.forced", "b.block.error", "b.block.lead_ms", "b.block.seam.overlap_len")
+
+
 LIVE_SQL = rf"""SELECT *, lag(w) OVER o AS before FROM (SELECT conv_id, turn, forced, is_gap, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM ({TURNS_SQL})) WINDOW o AS (PARTITION BY conv_id ORDER BY turn)"""
 
 
@@ -691,3 +747,31 @@ def messages_and_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.pcm_seconds(audio, 1, 2).alias("seconds"),
         glossary.prompt(F.col("event_type")).alias("prompt"),
     )
+
+
+@query(
+    r"""SELECT user_id, printf('{"type":"init","total_s":%d.5,"sample_rate":16000,"n_segments":%d,"forced_cut_rate":0.25,"paragraph_pause_s":1.2,"section_pause_s":3.0,"drift_terms":[{"canonical":"a","drift":"%s"},{"canonical":"b","drift":"y"}],"paragraph_boundary_times":[1.5,%d.25]}', user_id % 60, n, event_type, n) AS message,
+  '{"type":"init","mode":"live","sample_rate":16000,"n_segments":null,"paragraph_pause_s":1.2,"section_pause_s":3.0,"drift_terms":[],"paragraph_boundary_times":[]}' AS live FROM (SELECT user_id, count(*) AS n, min(event_type) AS event_type FROM events GROUP BY user_id)"""
+)
+def init_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages that open each user's session, replayed and live."""
+    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_type").alias("e"))
+    pair = lambda a, b: F.struct(F.lit(a).alias("canonical"), b.alias("variant"))
+    terms = F.array(pair("b", F.lit("y")), pair("a", F.col("e")))
+    told = messages.init_json(F.col("user_id") % 60 + 0.5, F.lit(16000), F.col("n"), F.lit(0.25), terms, F.array(F.lit(1.5), F.col("n") + 0.25))
+    return u.select("user_id", told.alias("message"), messages.live_init_json(F.lit(16000)).alias("live"))
+
+
+@query("SELECT event_id, CAST((event_id % 300) / (8000 * (event_id % 3 + 1)) AS DOUBLE) AS seconds, CAST(len(regexp_extract_all(event_type, '\\S+')) AS INTEGER) AS words FROM events")
+def audio_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of generated WAV files by their headers, and the words of generated results."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+
+    def little(value: Column, size: int) -> Column:
+        return F.concat(*(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)))
+
+    n, rate = i % 300, 8000 * (i % 3 + 1)
+    plain = lambda s: F.lit(s.encode().hex())
+    head = [plain("RIFF"), little(36 + n * 2, 4), plain("WAVEfmt "), little(F.lit(16), 4), little(F.lit(1), 2), little(F.lit(1), 2), little(rate, 4), little(rate * 2, 4), little(F.lit(2), 2), little(F.lit(16), 2), plain("data"), little(n * 2, 4)]
+    audio = F.unhex(F.concat(*head, F.repeat(F.lit("0000"), n.cast("int"))))
+    return e.select("event_id", text.wav_seconds(audio).alias("seconds"), F.size(messages.result(F.col("event_type"))["words"]).alias("words"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import words_of
+
 # The interface's limits.
 PROMPT_CHARS, INSTRUCTION_CHARS, TERMS, TERM_CHARS, LONGEST_S = 6000, 2048, 100, 8000, 110.0
 RESPONSE = "text string, words array<struct<text:string,confidence:double>>, confidence double, llm_response string, llm_error string, audio_duration_ms bigint, session_id string, request_time_ms bigint, sync_time_ms bigint"
@@ -60,6 +62,16 @@ def decoded(json: Column) -> Column:
     return x.withField("text", F.coalesce(x["text"], F.lit(""))).withField("words", words)
 
 
+def result(text: Column, confidence: float = 1.0, session: str = "canned", took_ms: int = 10) -> Column:
+    """A response as `decoded` gives it, made from a text whose words are all sure."""
+    none = lambda kind: F.lit(None).cast(kind)
+    words = F.transform(words_of(text), lambda w: F.struct(w.alias("text"), F.lit(1.0).alias("confidence")))
+    times = [F.lit(took_ms).cast("long").alias(n) for n in ("request_time_ms", "sync_time_ms")]
+    return F.struct(
+        F.coalesce(text, F.lit("")).alias("text"), words.alias("words"), F.lit(confidence).alias("confidence"), none("string").alias("llm_response"), none("string").alias("llm_error"), none("long").alias("audio_duration_ms"), F.lit(session).alias("session_id"), *times
+    )
+
+
 def request_json(c: str = "") -> Column:
     """The fields that go over the wire; nulls and an empty list of languages stay away."""
     names = ("sample_rate", "channels", "language_codes", "stt_prompt", "prompt", *_ALIASES, "llm_instruction")
@@ -83,3 +95,29 @@ def pending_json(segment: Column, done: Column, total: Column) -> Column:
             total.alias("total"),
         )
     )
+
+
+def init_json(total_s: Column, sample_rate: Column, segments: Column, forced_rate: Column, terms: Column, times: Column, paragraph_s: float = 1.2, section_s: float = 3.0) -> Column:
+    """The message that opens a replayed session.  terms: structs of canonical and variant; times: true boundaries in seconds."""
+    named = F.transform(F.array_sort(terms), lambda t: F.struct(t["canonical"].alias("canonical"), t["variant"].alias("drift")))
+    return F.to_json(
+        F.struct(
+            F.lit("init").alias("type"),
+            F.bround(total_s, 3).alias("total_s"),
+            sample_rate.alias("sample_rate"),
+            segments.alias("n_segments"),
+            F.bround(forced_rate, 4).alias("forced_cut_rate"),
+            F.lit(paragraph_s).alias("paragraph_pause_s"),
+            F.lit(section_s).alias("section_pause_s"),
+            named.alias("drift_terms"),
+            F.transform(times, lambda t: F.bround(t, 3)).alias("paragraph_boundary_times"),
+        )
+    )
+
+
+def live_init_json(sample_rate: Column, paragraph_s: float = 1.2, section_s: float = 3.0) -> Column:
+    """The message that opens a live session, of which neither length nor truth is known."""
+    empty = F.array().cast("array<double>")
+    told = [F.lit("init").alias("type"), F.lit("live").alias("mode"), sample_rate.alias("sample_rate"), F.lit(None).cast("int").alias("n_segments")]
+    limits = [F.lit(paragraph_s).alias("paragraph_pause_s"), F.lit(section_s).alias("section_pause_s")]
+    return F.to_json(F.struct(*told, *limits, empty.alias("drift_terms"), empty.alias("paragraph_boundary_times")), {"ignoreNullFields": "false"})

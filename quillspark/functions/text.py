@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import wave
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,3 +77,18 @@ def is_term(token: Column, place: Column) -> Column:
 def pcm_seconds(audio: Column, rate: Column | int, channels: Column | int) -> Column:
     """Length of 16-bit samples."""
     return F.octet_length(audio) / (F.lit(rate) * F.lit(channels) * 2)
+
+
+def wav_seconds(audio: Column, rate: int = 16_000) -> Column:
+    """Length of WAV files by their headers, `rate` where a header names none; null: null, no WAV: an error."""
+
+    def seconds(files: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> float | None:
+            if data is None:
+                return None
+            with wave.open(io.BytesIO(data), "rb") as w:
+                return w.getnframes() / (w.getframerate() or rate)
+
+        return files.map(one).astype("float64")
+
+    return F.pandas_udf(seconds, "double")(audio)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.messages import retryable
+
 
 def first_wins(arrivals: DataFrame, key: str, seq: str = "seq", arrival: str = "arrival") -> DataFrame:
     """The first arrival of each number: a partial aggregation, so repeats go before the shuffle."""
@@ -24,6 +26,20 @@ def ready_prefix(results: DataFrame, key: str, seq: str = "seq", first: int = 0)
     return results.where(F.col(seq) >= first).withColumn("__n", place).where(F.col("__n") + first == F.col(seq)).drop("__n")
 
 
+def growth(results: DataFrame, key: str, seq: str = "seq", arrival: str = "arrival") -> DataFrame:
+    """A row for each arrival that lets the ready prefix grow: the document's counts as they stand then.
+
+    A row is ready once it and all before it have landed, at the running maximum of the arrivals.  results:
+    one row a number, with section_id, paragraph_id, forced and is_gap.
+    """
+    so_far = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    ready = ready_prefix(results, key, seq).withColumn("ready_at", F.max(arrival).over(so_far))
+    steps = ready.groupBy(key, "ready_at").agg(F.count(F.lit(1)).alias("n"), F.max("section_id").alias("s"), F.max("paragraph_id").alias("p"), F.count_if("forced").alias("f"), F.count_if("is_gap").alias("g"))
+    then = Window.partitionBy(key).orderBy("ready_at").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c, name: F.sum(c).over(then).alias(name)
+    return steps.select(key, "ready_at", total("n", "done"), (F.max("s").over(then) + 1).alias("sections"), (F.max("p").over(then) + 1).alias("paragraphs"), total("f", "forced"), total("g", "gaps"))
+
+
 def missing(results: DataFrame, key: str, seq: str = "seq", first: int = 0) -> DataFrame:
     """Numbers from `first` to each session's last that have no row."""
     inside = Window.partitionBy(key).orderBy(seq)
@@ -72,6 +88,19 @@ def capped(requests: DataFrame, key: str, order: str, arrives: str, takes: str,
     return dealt.mapInArrow(run, requests.schema.add("starts", "long").add("ends", "long"))
 
 
+def faulty(requests: DataFrame, faults: DataFrame, key: str, seq: str = "seq", retries: int = 2) -> DataFrame:
+    """(key, seq, attempt, outcome, latency_s): what every allowed attempt of each request would end in.
+
+    faults: (key, seq, latency_s, raises, transient): kinds of error that the first attempts meet one after
+    the other, then `raises` if there is one, else success.  A request without a row succeeds at once.
+    """
+    planned = requests.select(key, seq).join(faults.select(key, seq, "latency_s", "raises", "transient"), [key, seq], "left")
+    each = planned.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries))))
+    passing = F.get(F.coalesce("transient", F.array().cast("array<string>")), F.col("attempt"))
+    kind = F.coalesce(passing, "raises", F.lit("ok"))
+    return each.select(key, seq, "attempt", F.when(retryable(kind), "retryable").otherwise(kind).alias("outcome"), F.coalesce("latency_s", F.lit(0.0)).alias("latency_s"))
+
+
 def outcomes(attempts: DataFrame, key: str, seq: str, attempt: str = "attempt", outcome: str = "outcome", retries: int = 2, base_s: float = 0.5) -> DataFrame:
     """Where each request ends: the first attempt (from 0) that succeeds, can't be retried or is the last allowed.
 

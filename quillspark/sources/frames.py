@@ -52,6 +52,25 @@ def speech_flag(probability: Column, threshold: float = 0.5) -> Column:
     return F.coalesce(probability >= threshold, F.lit(False))
 
 
+def speech_probability(flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False)).cast("double")
+
+
+def scripted(frames: DataFrame, script: DataFrame, key: str, idx: str = "idx") -> DataFrame:
+    """Add is_speech by (key, idx, is_speech) of a script; a frame that the script doesn't reach is silent."""
+    told = script.select(key, idx, F.col("is_speech").alias("__told"))
+    return frames.join(told, [key, idx], "left").withColumn("is_speech", F.coalesce("__told", F.lit(False))).drop("__told")
+
+
+def checked(frames: DataFrame, samples: str = "samples", size: int = FRAME_SAMPLES) -> DataFrame:
+    """The frames; samples that aren't 16-bit fail at once, a frame of another length fails when it is read."""
+    if frames.schema[samples].dataType not in (T.ArrayType(T.ShortType()), T.ArrayType(T.ShortType(), False)):
+        raise TypeError(f"{samples} must be an array of 16-bit samples")
+    n = F.coalesce(F.size(samples), F.lit(-1))
+    fits = F.when(n == size, True).otherwise(F.raise_error(F.concat(F.lit(f"a frame must have {size} samples, not "), n.cast("string"))).cast("boolean"))
+    return frames.where(fits)
+
+
 def clips(spark: SparkSession, n: int = 42, words: int = 34, gaps: tuple[int, ...] = GAPS_US) -> DataFrame:
     """(session, clip, words, gap_us): cyclic slices of the vocabulary with gaps in turn."""
     vocabulary = F.array(*(F.lit(w) for w in VOCABULARY))
@@ -59,6 +78,16 @@ def clips(spark: SparkSession, n: int = 42, words: int = 34, gaps: tuple[int, ..
     return spark.range(n).select(F.lit("demo").alias("session"), F.col("id").cast("int").alias("clip"), chosen.alias("words"), F.get(F.array(*map(F.lit, gaps)), (F.col("id") % len(gaps)).cast("int")).alias("gap_us"))
 
 
+def run_on_clips(spark: SparkSession, n: int = 24, words: int = 34, at: int = 12, long: int = 120) -> DataFrame:
+    """clips() with one of `long` words without a pause put before clip `at`, and the longest gap on both its sides."""
+    vocabulary = F.array(*(F.lit(w) for w in VOCABULARY))
+    spoken = F.transform(F.sequence(F.lit(0), F.lit(long - 1)), lambda j: F.get(vocabulary, (j % len(VOCABULARY)).cast("int")))
+    later = clips(spark, n, words).withColumn("clip", F.col("clip") + (F.col("clip") >= at).cast("int"))
+    one = spark.range(1).select(F.lit("demo").alias("session"), F.lit(at).alias("clip"), spoken.alias("words"), F.lit(0).alias("gap_us"))
+    usual = F.get(F.array(*map(F.lit, GAPS_US)), F.col("clip") % len(GAPS_US))
+    return later.unionByName(one).withColumn("gap_us", F.when(F.col("clip").isin(at - 1, at), F.lit(max(GAPS_US))).otherwise(usual))
+
+
 def frames_of_words(words: DataFrame, total: DataFrame, key: str = "session", frame_us: int = FRAME_US) -> DataFrame:
     """Frames over (key, total_us); speech where the frame's middle lies in a word.  Each word names its frames, no range join."""
     every = total.select(key, F.explode(F.sequence(F.lit(0), F.floor(F.col("total_us") / frame_us).cast("int") - 1)).alias("i"))

@@ -42,23 +42,32 @@ def cut(frames: DataFrame, policy: CutPolicy, key: str = "session") -> DataFrame
 
 
 def assemble(results: DataFrame, key: str = "session") -> DataFrame:
-    """Results (key, seq, text, is_gap) in the order of seq without holes: a late one waits, the first of a number wins."""
+    """Results (key, seq, text, is_gap) in the order of seq without holes: a late one waits, the first of a number wins.
+
+    A row whose seq is null ends its session and frees the state; what still waits behind a hole then goes unsaid.
+    """
     kind = results.schema[key].dataType.simpleString()
     out = f"{key} {kind}, seq int, text string, is_gap boolean"
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cursor, seqs, texts, gaps = state.get if state.exists else (0, [], [], [])
         waiting = {s: (t, g) for s, t, g in zip(seqs, texts, gaps, strict=True)}
+        ended = False
         for frame in batches:
             for seq, text, gap in zip(frame["seq"].tolist(), frame["text"].tolist(), frame["is_gap"].tolist(), strict=True):
-                if seq >= cursor:
+                if pd.isna(seq):
+                    ended = True
+                elif (seq := int(seq)) >= cursor:
                     waiting.setdefault(seq, (text, bool(gap)))
         rows = []
         while cursor in waiting:
             rows.append((group[0], cursor, *waiting.pop(cursor)))
             cursor += 1
         left = sorted(waiting)
-        state.update((cursor, left, [waiting[s][0] for s in left], [waiting[s][1] for s in left]))
+        if ended:
+            state.remove()
+        else:
+            state.update((cursor, left, [waiting[s][0] for s in left], [waiting[s][1] for s in left]))
         yield pd.DataFrame(rows, columns=[key, "seq", "text", "is_gap"])
 
     return results.groupBy(key).applyInPandasWithState(run, out, "cursor int, seqs array<int>, texts array<string>, gaps array<boolean>", "append", GroupStateTimeout.NoTimeout)

@@ -1,8 +1,14 @@
+import io
+import json
+import wave
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import messages, text
 from quillspark import catalog
-from quillspark.operators import assemble, consistency, glossary, intervals, metrics, ring, splice, structure
+from quillspark.operators import assemble, consistency, glossary, intervals, metrics, ring, sessionize, splice, structure
+from quillspark.sources import frames
 
 
 def one(df):
@@ -43,7 +49,7 @@ def test_seam_without_overlap_is_marked(spark):
 def test_seams_reach_the_end_of_a_long_text(spark, tmp_path):
     texts = {6: [f"w{i}" for i in range(1000)], 15: [f"w{i}" for i in range(28)], 4: []}
     spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(map(tuple, catalog.seam_splice_whole(spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, catalog.seam_splice(spark, str(tmp_path)).collect()))
     one = [(4, 1, 0, False, "[⚠ seam]"), (15, 1, 0, False, " ".join(texts[15]) + " [⚠ seam]")]
     want = [(6, n + 1, 6, True, " ".join(texts[6][28 * n : 28 * n + 62])) for n in range(35)]
     assert got == one[:1] + want + one[1:] and got[-2][4].endswith("w999")
@@ -226,3 +232,61 @@ def test_phonetic_key_and_affixes(spark):
 def test_request_json_drops_nulls(spark):
     df = spark.createDataFrame([(16000, 1, [], "p", None, None, ["a"], None, None)], "sample_rate int, channels int, language_codes array<string>, stt_prompt string, prompt string, keyterms_prompt array<string>, keyterms array<string>, word_boost array<string>, llm_instruction string")
     assert one(df.select(messages.request_json().alias("j")))["j"] == '{"sample_rate":16000,"channels":1,"stt_prompt":"p","keyterms":["a"]}'
+
+
+def test_faults_pass_or_last(spark):
+    requests = spark.createDataFrame([("s", i) for i in range(5)], "k string, seq int")
+    faults = spark.createDataFrame([("s", 1, 0.1, None, ["timeout", "server"]), ("s", 2, 0.2, "auth", ["timeout"]), ("s", 3, 0.0, "server", None), ("s", 4, 0.3, None, None)], "k string, seq int, latency_s double, raises string, transient array<string>")
+    attempts = assemble.faulty(requests, faults, "k")
+    got = {r["seq"]: (r["attempts"], r["outcome"]) for r in assemble.outcomes(attempts, "k", "seq").collect()}
+    assert got == {0: (1, "ok"), 1: (3, "ok"), 2: (2, "auth"), 3: (3, "retryable"), 4: (1, "ok")}
+    assert {r["seq"]: r["latency_s"] for r in attempts.where("attempt = 0").collect()} == {0: 0.0, 1: 0.1, 2: 0.2, 3: 0.0, 4: 0.3}
+
+
+def test_documents_grow_when_the_hole_is_filled(spark):
+    rows = [("s", 0, 2, 0, 0, False, False), ("s", 1, 1, 0, 1, True, False), ("s", 2, 5, 1, 2, False, True), ("s", 4, 0, 1, 2, False, False)]
+    df = spark.createDataFrame(rows, "k string, seq int, arrival int, section_id int, paragraph_id int, forced boolean, is_gap boolean")
+    got = [tuple(r) for r in assemble.growth(df, "k").orderBy("ready_at").collect()]
+    assert got == [("s", 2, 2, 1, 2, 1, 0), ("s", 5, 3, 2, 3, 1, 1)]
+
+
+def test_frames_are_checked_and_scripted(spark):
+    good = spark.createDataFrame([("s", 0, [0] * 512), ("s", 7, [1] * 512)], "k string, idx int, samples array<smallint>")
+    assert frames.checked(good).count() == 2
+    with pytest.raises(TypeError):
+        frames.checked(good.withColumn("samples", F.col("samples").cast("array<int>")))
+    with pytest.raises(Exception, match="512"):
+        frames.checked(good.withColumn("samples", F.slice("samples", 1, 5))).collect()
+    script = spark.createDataFrame([("s", 0, True), ("s", 1, True)], "k string, idx int, is_speech boolean")
+    assert {r["idx"]: r["is_speech"] for r in frames.scripted(good, script, "k").collect()} == {0: True, 7: False}
+
+
+def test_a_run_on_forces_a_cut(spark):
+    source = frames.run_on_clips(spark)
+    words = intervals.timed_words(source, "session", "clip", F.col("words"), F.col("gap_us"))
+    total = source.groupBy("session").agg(F.sum(F.size("words") * F.lit(intervals.WORD_US).cast("long") + F.col("gap_us")).alias("total_us"))
+    cut = sessionize.cut(frames.frames_of_words(words, total), sessionize.CutPolicy(maximum=40 * sessionize.SECOND), "session")
+    assert cut.where("forced").count() >= 1
+    assert source.where("clip in (11, 12) and gap_us = 4000000").count() == 2 and source.count() == 25
+
+
+def test_wav_lengths_read_the_header(spark):
+    made = io.BytesIO()
+    with wave.open(made, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(b"\0" * 4 * 2000)
+    df = spark.createDataFrame([(bytearray(made.getvalue()),), (None,)], "audio binary")
+    assert [r[0] for r in df.select(text.wav_seconds(F.col("audio"))).collect()] == [0.25, None]
+    with pytest.raises(Exception, match="RIFF"):
+        spark.createDataFrame([(bytearray(b"no sound at all"),)], "audio binary").select(text.wav_seconds(F.col("audio"))).collect()
+
+
+def test_snapshot_message_has_sections_and_seams(spark, tmp_path):
+    rows = [(0, t, x) for t, x in enumerate(["alpha beta gamma", "beta gamma delta", "one two", None, "three"])]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = json.loads(one(catalog.snapshots(spark, str(tmp_path)))["message"])
+    assert (got["type"], got["seq"], got["final"], got["stats"]["done"]) == ("document", 4, True, 5)
+    blocks = [b["block"] for s in got["sections"] for p in s["paragraphs"] for b in p["blocks"]]
+    assert [b["turn"] for b in blocks] == [0, 1, 2, 3, 4]

@@ -33,3 +33,24 @@ def test_streamed_assembly_waits_for_the_hole(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = run(streaming.assemble(source), spark, "assembled").collect()
     assert [(r["seq"], r["text"]) for r in sorted(got, key=lambda r: r["seq"])] == [(0, "a"), (1, "b")]
+
+
+def test_an_end_row_frees_a_streamed_session(spark, tmp_path):
+    schema = "session string, seq int, text string, is_gap boolean"
+    for part in ([("s", 0, "a", False), ("s", 2, "c", False)], [("s", None, None, None)], [("s", 0, "new", False), ("s", 2, "z", False)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(streaming.assemble(source), spark, "freed").collect()
+    assert [(r["seq"], r["text"]) for r in got] == [(0, "a"), (0, "new")]
+
+
+def test_streamed_term_counts_and_each_batch(spark, tmp_path):
+    for part in (["We use Kubernetes", "plain text"], ["Then Kubernetes again", None]):
+        spark.createDataFrame([("s", t) for t in part], "session string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("session string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(streaming.term_counts(source), spark, "terms", "complete").collect()
+    assert {r["core"]: r["n"] for r in got} == {"kubernetes": 2}
+    sizes = []
+    q = streaming.on_each_batch(source, lambda batch, i: sizes.append((i, batch.count())), spark.conf.get("spark.checkpoint.dir") + "/each")
+    q.awaitTermination(60)
+    assert sizes == [(0, 2), (1, 2)]
