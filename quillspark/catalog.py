@@ -580,16 +580,16 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
   nb AS MATERIALIZED (SELECT conv_id, turn, l, w, list_transform(l, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS a, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS b FROM (
     SELECT *, lag(w) OVER o AS l, lag(forced) OVER o AS lf, lag(is_gap) OVER o AS lg FROM (SELECT conv_id, turn, forced, is_gap, CASE WHEN is_gap THEN [] ELSE regexp_extract_all(coalesce(text, ''), '\\S+') END AS w FROM st) WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) WHERE lf AND NOT lg AND NOT is_gap),
   sm AS MATERIALIZED (SELECT conv_id, turn, coalesce(list_max(list_filter(range(2, least(len(l), len(w), 15) + 1), lambda m: len(list_filter(range(1, m + 1), lambda i: a[len(a) - m + i] = b[i] AND b[i] <> '')) / m >= 0.6)), 0) AS k FROM nb),
-  """, 1).replace("SELECT c.conv_id, c.turn, CASE WHEN", "SELECT c.conv_id, c.turn, st.section_id::BIGINT AS section_id, st.paragraph_id::BIGINT AS paragraph_id, c.text AS verbatim, st.is_gap, st.forced, st.error, st.lead_ms, sm.k::INTEGER AS overlap_len, tot.done, tot.sections::BIGINT AS sections, tot.paragraphs::BIGINT AS paragraphs, tot.forced_blocks, tot.gaps, tot.seq, CASE WHEN", 1)
+  """, 1).replace("SELECT c.conv_id, c.turn, CASE WHEN", "SELECT c.conv_id, c.turn, st.section_id::BIGINT AS section_id, st.paragraph_id::BIGINT AS paragraph_id, c.text AS verbatim, st.is_gap, st.forced, st.error, st.lead_ms, coalesce(sm.k, -1)::INTEGER AS overlap_len, tot.done, tot.sections::BIGINT AS sections, tot.paragraphs::BIGINT AS paragraphs, tot.forced_blocks, tot.gaps, tot.seq, CASE WHEN", 1)
     + " JOIN st ON st.conv_id = c.conv_id AND st.turn = c.turn JOIN tot ON tot.conv_id = c.conv_id LEFT JOIN sm ON sm.conv_id = c.conv_id AND sm.turn = c.turn"
 )
 def document_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks that each session's message holds, read back from it."""
+    """The blocks that each session's message holds, read back from it; a block without a seam has overlap_len -1."""
     m = snapshots(spark, sf_dir).select("conv_id", F.from_json("message", SNAPSHOT).alias("m"))
     s = m.select("conv_id", "m.seq", "m.stats.*", F.explode("m.sections").alias("s")).withColumnRenamed("forced", "forced_blocks")
     p = s.select("*", "s.section_id", F.explode("s.paragraphs").alias("p"))
     b = p.select("*", "p.paragraph_id", F.explode("p.blocks").alias("b")).drop("s", "p")
-    return b.select("conv_id", "seq", "done", "sections", "paragraphs", "forced_blocks", "gaps", "section_id", "paragraph_id", "b.block.turn", "b.block.verbatim", "b.block.clean", "b.block.is_gap", "b.block.forced", "b.block.error", "b.block.lead_ms", "b.block.seam.overlap_len")
+    return b.select("conv_id", "seq", "done", "sections", "paragraphs", "forced_blocks", "gaps", "section_id", "paragraph_id", "b.block.turn", "b.block.verbatim", "b.block.clean", "b.block.is_gap", "b.block.forced", "b.block.error", "b.block.lead_ms", F.coalesce("b.block.seam.overlap_len", F.lit(-1)).alias("overlap_len"))
 
 
 LIVE_SQL = rf"""SELECT *, lag(w) OVER o AS before FROM (SELECT conv_id, turn, forced, is_gap, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM ({TURNS_SQL})) WINDOW o AS (PARTITION BY conv_id ORDER BY turn)"""
