@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, free, materialize, ship
+from .shared import discard, few_files, free, materialize, ship
 from .text import LOWER, SPACE, U64, distinct_per_text, hashes, mix, signed, slices, tokens
 
 ROWS, BANDS = 5, 35
@@ -328,14 +328,15 @@ def components(edges: DataFrame) -> DataFrame:
         moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
-    edges, mark = materialize(small(edges.where("a <> b").distinct())), None
-    while True:
-        before, edges = edges, materialize(small(large(edges)))
-        discard(before)
-        seen = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if seen == mark:
-            return edges
-        mark = seen
+    with few_files(edges.sparkSession):  # light work on tables that shrink
+        edges, mark = materialize(small(edges.where("a <> b").distinct())), None
+        while True:
+            before, edges = edges, materialize(small(large(edges)))
+            discard(before)
+            seen = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+            if seen == mark:
+                return edges
+            mark = seen
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

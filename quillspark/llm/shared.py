@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return made
 
 
+@contextmanager
+def few_files(spark: SparkSession) -> Iterator[None]:
+    """Inside, small results of a shuffle are written as files of the advisory size, not one for each core at least."""
+    spread = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(spread)
+    spark.conf.set(spread, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(spread, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what `materialize` wrote of frames that nothing reads any more; other frames are left alone."""
     for f in frames:
