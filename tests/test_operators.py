@@ -99,6 +99,27 @@ def test_near_spellings_of_short_and_long_words(spark):
     assert got == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= 2 and brute_wer(a, b) <= 2}
 
 
+def test_spelling_pairs_of_a_session_in_several_parts(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    words = list(dict.fromkeys("".join(rnd.choice("abc") for _ in range(rnd.choice((5, 6, 7, 9, 24, 26, 30)))) for _ in range(150)))
+    words += [w[:3] + w[4:] + "a" for w in words if len(w) > 20 and w[:3] + w[4:] + "a" not in words]
+    df = spark.createDataFrame([(k, 0, " ".join(words[k:])) for k in (0, 60, 149)] + [(None, 0, " ".join(words))], "k int, seq int, text string")
+    want = {(k, a, b) for k in (0, 60, 149) for i, a in enumerate(words[k:]) for b in words[k + i + 1 :] if abs(len(a) - len(b)) <= 2 and brute_wer(a, b) <= 2}
+    monkeypatch.setattr(consistency, "PART", 40)
+    monkeypatch.setattr(consistency, "HELD", 50)
+    got = [tuple(r) for r in consistency.spelling_edges(consistency.candidates(consistency.cores(df, "k", "seq")), "k").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_remap_reads_its_texts_once(spark):
+    df = spark.createDataFrame([("s", 0, "kubernetes kubernetes kubernetis")], "k string, seq int, text string")
+    made = consistency.remap(df, "k", "seq")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert [tuple(r) for r in made.collect()] == [("s", "kubernetis", "kubernetes")]
+
+
 def test_many_distinct_words_are_told_apart_and_too_many_are_an_error(spark, monkeypatch):
     a = " ".join(f"w{i}" for i in range(3000))
     df = spark.createDataFrame([(a, a + " more"), (a, a.replace("w7 ", ""))], "r string, h string")
