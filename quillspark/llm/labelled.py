@@ -1,4 +1,4 @@
-"""Bounded samples of labelled texts for the two classifiers."""
+"""Labelled texts for the two classifiers: ids and labels, a bounded sample, a weighted curve."""
 
 from __future__ import annotations
 
@@ -44,10 +44,11 @@ def share_of_ones(labels: DataFrame, label: str, parts: int, held_out: int) -> f
     return 0.5 if got is None else min(0.99, max(0.01, got))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ones: float, ridge: float = 1e-4, steps: int = 60) -> np.ndarray:
-    """Weights (the last one for a constant) of a logistic regression in which label 1 weighs `ones` in all and label 0 the rest."""
+def logistic(x: np.ndarray, y: np.ndarray, ones: float, ridge: float = 1e-4, steps: int = 60, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last one for a constant) of a logistic regression in which label 1 weighs `ones` in all and label 0 the rest; times: how often each row counts."""
+    times = np.ones(len(x)) if times is None else times
     x = np.column_stack([x, np.ones(len(x))])
-    weight = np.where(y == 1, ones / max(1, (y == 1).sum()), (1 - ones) / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, ones / max(1, times[y == 1].sum()), (1 - ones) / max(1, times[y == 0].sum())) * times
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

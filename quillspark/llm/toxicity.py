@@ -8,7 +8,7 @@ letters without a doubled one, whose lattice has a single path, and all runs of
 however long and however wide their gaps; each distinct one is decoded once for a worker.
 
 The lexicon has the words whose presence in the restored text speaks for the label (signed likelihood
-ratio); a logistic curve over the strongest of a text's hits and the sum of the others is the score.  A null
+ratio); all labelled texts outside the held-out fold count, near copies once; a logistic curve over the strongest of a text's hits and the sum of the others is the score.  A null
 text counts as empty; empty texts score the curve's constant.  Repeated rows get equal scores; an empty
 table gives no rows.  Without labels of both kinds every score is 0.  Ids with contradictory labels aren't
 learned from.
@@ -19,18 +19,18 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labelled import SAMPLE, fold, logistic, sample, share_of_ones
-from .shared import free, ship
+from .labelled import fold, logistic, share_of_ones, usable
+from .shared import discard, free, materialize, ship
 
 # Signs and the letters they imitate.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -48,19 +48,28 @@ SUSPECT = 0.02
 CACHE = 200_000
 
 
+def trigrams(words: Counter[str]) -> Counter[str]:
+    """Letter trigrams of words between spaces; each word has one that ends with a space."""
+    three: Counter[str] = Counter()
+    for w, n in words.items():
+        s = f"  {w} "
+        for i in range(2, len(s)):
+            three[s[i - 2 : i + 1]] += n
+    return three
+
+
 class CharacterModel:
     """Letter trigrams with interpolated lower orders; a word starts and ends with a space."""
 
-    def __init__(self, words: Counter[str]) -> None:
-        three: Counter[str] = Counter()
+    def __init__(self, words: Counter[str], counted: dict[str, int] | None = None) -> None:
+        """counted: trigrams of further words, as `trigrams` gives them."""
+        three = trigrams(words)
+        three.update(counted or {})
         two: Counter[str] = Counter()
         one: Counter[str] = Counter()
-        for w, n in words.items():
-            s = f"  {w} "
-            for i in range(2, len(s)):
-                three[s[i - 2 : i + 1]] += n
-                two[s[i - 1 : i + 1]] += n
-                one[s[i]] += n
+        for g, n in three.items():
+            two[g[1:]] += n
+            one[g[2]] += n
         total = sum(one.values()) + 1
         of_two: Counter[str] = Counter()
         of_one: Counter[str] = Counter()
@@ -204,60 +213,133 @@ class Model:
         return (hits[0] if hits else 0.0), sum(hits[1:])
 
 
+def copy_key(words: set[str]) -> tuple[int, ...]:
+    """The three least word hashes, which near copies share."""
+    return tuple(sorted(zlib.crc32(w.encode()) for w in words)[:3])
+
+
 def without_copies(rows: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
     """Rows whose three least word hashes no row of their label before has: near copies would make chance words look like evidence."""
     seen: set[tuple] = set()
     out = []
     for words, y in rows:
-        key = (y, *sorted(zlib.crc32(w.encode()) for w in words)[:3])
+        key = (y, *copy_key(words))
         if key not in seen:
             seen.add(key)
             out.append((words, y))
     return out
 
 
-def evidence(rows: list[tuple[set[str], int]], least: float = 15.0) -> dict[str, float]:
-    """Words whose presence speaks for label 1 beyond chance (likelihood ratio above `least`), with their log odds."""
-    rows = without_copies(rows)
-    n = [max(1, sum(1 for _, y in rows if y == v)) for v in (0, 1)]
-    counts = (Counter(w for words, y in rows if y == v for w in words) for v in (0, 1))
-    no, yes = counts
-    out = {}
-    for w, a in yes.items():
-        b = no.get(w, 0)
+def training(docs: DataFrame, labels: DataFrame, parts: int, held_out: int) -> DataFrame:
+    """text, y, side, fresh of all labelled documents outside the held-out fold, one text an id, written to the shared folder.
+
+    side: a half by hash; fresh: the smallest id of those of its label that share the three least word hashes.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [",".join(map(str, copy_key(set(LETTERS.findall(t.lower()))))) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.string())], names=["doc_id", "copy"])
+
+    known = usable(labels, "toxic", parts, held_out)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (fold(F.col("doc_id"), parts) != held_out))
+    first = texts.mapInArrow(keyed, "doc_id long, copy string").join(known, "doc_id").groupBy("y", "copy").agg(F.min("doc_id").alias("doc_id"))
+    known = known.join(first.select("doc_id", F.lit(True).alias("fresh")).distinct(), "doc_id", "left")
+    whole = texts.join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("fresh").alias("fresh"))
+    return materialize(whole.select("text", "y", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(2)).cast("int").alias("side"), F.coalesce("fresh", F.lit(False)).alias("fresh")))
+
+
+def presence(train: DataFrame, reader: Callable[[], Callable[[str], set[str]]], letters: bool = False) -> DataFrame:
+    """kind, word, n0 to n3: in how many fresh texts of each side and label (2 * side + y) each word is (kind 0); with `letters`, how
+    often each trigram of the plain words of all texts occurs (kind 1, in n0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, held, grams = reader(), {}, Counter()
+
+        def rest() -> pa.RecordBatch:
+            rows = [(0, w, *n) for w, n in held.items()] + [(1, g, n, 0, 0, 0) for g, n in grams.items()]
+            held.clear()
+            grams.clear()
+            return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int32(), pa.string(), *[pa.int64()] * 4])], names=["kind", "word", "n0", "n1", "n2", "n3"])
+
+        for batch in batches:
+            plain: Counter[str] = Counter()
+            for text, y, side, fresh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if letters:
+                    plain.update(LETTERS.findall(text.lower()))
+                for w in read(text) if fresh else ():
+                    held.setdefault(w, [0, 0, 0, 0])[2 * side + y] += 1
+            grams.update(trigrams(plain))
+            if len(held) + len(grams) > CACHE:
+                yield rest()
+        yield rest()
+
+    found = train.mapInArrow(run, "kind int, word string, n0 long, n1 long, n2 long, n3 long")
+    return found.groupBy("kind", "word").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
+
+
+def evidence(counted: DataFrame, texts: list[int], sides: list[tuple[int, ...]], least: float = 15.0) -> list[dict[str, float]]:
+    """For each choice of sides the words whose presence speaks for label 1 beyond chance (likelihood ratio above `least`), with their log odds.
+
+    texts: how many fresh texts each of n0 to n3 is out of.
+    """
+
+    def odds(side: tuple[int, ...]) -> Column:
+        n, (b, a) = [max(1, sum(texts[2 * s + y] for s in side)) for y in (0, 1)], [sum((F.col(f"n{2 * s + y}") for s in side), F.lit(0)) for y in (0, 1)]
         pa_, pb, p = a / n[1], b / n[0], (a + b) / (n[0] + n[1])
-        if a < 3 or pa_ <= 3 * pb:
-            continue
-        log = lambda k, m, q: (k * math.log(q) if k else 0.0) + ((m - k) * math.log(1 - q) if m > k else 0.0)
-        ratio = 2 * (log(a, n[1], pa_) + log(b, n[0], pb) - log(a, n[1], p) - log(b, n[0], p))
-        if ratio >= least:
-            out[w] = math.log(((a + 0.5) / (n[1] + 1)) / ((b + 0.5) / (n[0] + 1)))
-    return out
+        log = lambda k, m, q: F.when(k > 0, k * F.log(q)).otherwise(0.0) + F.when(m > k, (m - k) * F.log(1 - q)).otherwise(0.0)
+        ratio = 2 * (log(a, F.lit(n[1]), pa_) + log(b, F.lit(n[0]), pb) - log(a, F.lit(n[1]), p) - log(b, F.lit(n[0]), p))
+        return F.when((a >= 3) & (pa_ > 3 * pb) & (ratio >= least), F.log(((a + 0.5) / (n[1] + 1)) / ((b + 0.5) / (n[0] + 1))))
+
+    names = [f"odds{i}" for i in range(len(sides))]
+    found = counted.where("kind = 0").select("word", *(odds(side).alias(x) for side, x in zip(sides, names, strict=True)))
+    got = found.where(F.coalesce(*names).isNotNull()).toArrow().to_pylist()
+    return [{r["word"]: r[x] for r in got if r[x] is not None} for x in names]
+
 
+def features(train: DataFrame, characters: CharacterModel, lexicons: list[dict[str, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (features, label) of the texts by the evidence of the half that they aren't in, and how many texts have them."""
+    held = train.sparkSession.sparkContext.broadcast((characters, lexicons))
 
-def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, most: int = SAMPLE) -> Model | None:
-    """Learn from a bounded sample of labelled documents outside the held-out fold."""
-    rows = sample(docs, labels, "toxic", parts, held_out, most)
-    if len({y for _, y in rows}) < 2:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars, by_side = held.value
+        find, models = Finder(by_side[0] | by_side[1], chars), [Model(chars, lexicon, []) for lexicon in by_side]
+        for batch in batches:
+            many = Counter((*models[1 - side].features(find(text)), y) for text, y, side, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield pa.record_batch([pa.array([k[i] for k in many], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.int32()))] + [pa.array(list(many.values()), pa.int64())], names=["a", "b", "y", "n"])
+
+    got = train.mapInArrow(run, "a double, b double, y int, n long").groupBy("a", "b", "y").agg(F.sum("n").alias("n")).orderBy("a", "b", "y").toArrow()
+    a, b, y, n = (got[c].to_numpy() for c in ("a", "b", "y", "n"))
+    return np.column_stack([a, b]), y, n
+
+
+def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0) -> Model | None:
+    """Learn from all labelled documents outside the held-out fold; only counts, the lexicon and distinct features leave the tasks."""
+    ship(docs.sparkSession)
+    train = training(docs, labels, parts, held_out)
+    texts = [0, 0, 0, 0]
+    for r in train.where("fresh").groupBy("side", "y").count().collect():
+        texts[2 * r["side"] + r["y"]] = r["count"]
+    if not (texts[0] + texts[2] and texts[1] + texts[3]):
+        discard(train)
         return None
-    counted: Counter[str] = Counter()
-    for t, _ in rows:
-        counted.update(LETTERS.findall(t.lower()))
-    plain = [({w for w in LETTERS.findall(t.lower())}, y) for t, y in rows]
-    each = max(1, int(SUSPECT * sum(counted.values())))
-    counted.update({w: each for w in evidence(plain)})
-    characters = CharacterModel(counted)
-    restorer = Restorer(characters)
-    found = [(words_of(t, restorer), y) for t, y in rows]
+    counted = materialize(presence(train, lambda: lambda text: set(LETTERS.findall(text.lower())), letters=True))
+    grams = counted.where("kind = 1").select("word", "n0").toArrow()
+    grams = dict(zip(grams["word"].to_pylist(), grams["n0"].to_pylist(), strict=True))
+    each = max(1, int(SUSPECT * sum(n for g, n in grams.items() if g[2] == " ")))
+    characters = CharacterModel(Counter(dict.fromkeys(evidence(counted, texts, [(0, 1)])[0], each)), grams)
+    discard(counted)
+    held = docs.sparkSession.sparkContext.broadcast(characters)
+
+    def restored() -> Callable[[str], set[str]]:
+        restorer = Restorer(held.value)
+        return lambda text: words_of(text, restorer)
+
     # The curve is fitted on evidence from the other half, so that chance words don't count.
-    x, y = [], []
-    for side in (0, 1):
-        part = Model(characters, evidence(found[side::2]), [])
-        x += [part.features(w) for w, _ in found[1 - side :: 2]]
-        y += [v for _, v in found[1 - side :: 2]]
-    weights = logistic(np.array(x), np.array(y), share_of_ones(labels, "toxic", parts, held_out))
-    characters.memo = {}
-    return Model(characters, evidence(found), weights.tolist())
+    *halves, lexicon = evidence(presence(train, restored), texts, [(0,), (1,), (0, 1)])
+    x, y, n = features(train, characters, halves)
+    discard(train)
+    return Model(characters, lexicon, logistic(x, y, share_of_ones(labels, "toxic", parts, held_out), times=n).tolist())
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "toxicity_score") -> DataFrame:

@@ -254,6 +254,24 @@ def test_quality_on_the_held_out_fold(spark):
     assert kept.columns == ["doc_id", "text", "__text", "quality_score"]
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    import random
+
+    rnd = random.Random(6)
+    ids = spark.range(4400).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(F.xxhash64(F.lit(23), "id"), "id").toPandas()["id"].tolist()
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    ones, rows = 0, []
+    for i in ids:
+        ones += i % 2
+        # The later ones, in the order of the hash, have a word that the others lack.
+        rows.append((i, f"{word()} {word()} {word()} the " + ("" if i % 2 == 0 else "scumbag" if ones <= 1500 else "zorgle")))
+    assert ones > 1600
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert model.lexicon.keys() == {"scumbag", "zorgle"}
+    assert {r["predicted"] for r in toxicity.classify(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")).where("doc_id % 2 = 1").collect()} == {1}
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     docs, labels = labelled(spark, "toxic")
     got = toxicity.classify(docs, labels).collect()
