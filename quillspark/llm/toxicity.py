@@ -5,7 +5,8 @@ character may stand for itself, for a letter that it imitates, for a second copy
 for nothing; a gap between letters may stand for nothing or end a word; each at a price.  Viterbi decoding
 under a character model of the training words picks the restored words.  All tokens go in but those of
 letters without a doubled one, whose lattice has a single path, and all runs of characters that stand alone,
-however long and however wide their gaps; each distinct one is decoded once for a worker.
+however long and however wide their gaps.  In words of letters only, each run of a letter is settled by the
+letters beside it, to the same result.
 
 The lexicon has the words whose presence in the restored text speaks for the label (signed likelihood
 ratio); all labelled texts outside the held-out fold count, near copies once; a logistic curve over the strongest of a text's hits and the sum of the others is the score.  A null
@@ -16,7 +17,9 @@ learned from.
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -36,13 +39,44 @@ from .shared import discard, free, materialize, ship
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Prices, as natural logarithms of the channel's probabilities.
 SWAP, REPEAT, DROP, KEEP_SIGN, GAP = 0.7, 0.4, 4.0, 6.0, 0.8
+_BASIC = "".join(chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000)
+#: The basic plane's characters of a property, as a set of `re` has them.
+_RANGES = {p: "".join(f"{m[0]}-{m[-1]}" for m in regex.findall(rf"{p}+", _BASIC)) for p in (r"\p{L}", r"\p{N}")}
+
+
+class Pattern:
+    r"""A pattern with \p{L} and \p{N} only inside sets; texts of the basic plane are searched by `re`, which is faster, for the same characters."""
+
+    def __init__(self, source: str) -> None:
+        self.any = regex.compile(source)
+        for name, ranges in _RANGES.items():
+            source = source.replace(name, ranges)
+        self.basic = re.compile(source)
+
+    def _for(self, text: str) -> re.Pattern | regex.Pattern:
+        return self.basic if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.any
+
+    def findall(self, text: str) -> list[str]:
+        return self._for(text).findall(text)
+
+    def search(self, text: str) -> re.Match | regex.Match | None:
+        return self._for(text).search(text)
+
+
 _SIGNS = regex.escape("".join(IMITATES))
-WORD = regex.compile(rf"[\p{{L}}\p{{N}}{_SIGNS}]+(?:[-._*~'’]+[\p{{L}}\p{{N}}{_SIGNS}]+)*")
+WORD = Pattern(rf"[\p{{L}}\p{{N}}{_SIGNS}]+(?:[-._*~'’]+[\p{{L}}\p{{N}}{_SIGNS}]+)*")
 #: Three or more characters that stand alone, with anything but letters, figures and signs between them.
-SPACED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}@$!|](?:[^\p{L}\p{N}@$!|]++[\p{L}\p{N}@$!|](?![\p{L}\p{N}])){2,}+")
-LETTERS = regex.compile(r"\p{L}+")
+SPACED = Pattern(r"(?<![\p{L}\p{N}])[\p{L}\p{N}@$!|](?:[^\p{L}\p{N}@$!|]++[\p{L}\p{N}@$!|](?![\p{L}\p{N}])){2,}+")
+ALONE = Pattern(r"[\p{L}\p{N}@$!|]")
+LETTERS = Pattern(r"[\p{L}]+")
 #: A token whose lattice has more than one path.
-DISGUISED = regex.compile(r"\P{L}|(\p{L})\1")
+DISGUISED = Pattern(r"[^\p{L}]|([\p{L}])\1")
+#: What makes more of a token than its plain words: a figure, a sign, or a gap before a further character.
+ODD = Pattern(rf"[\p{{N}}{_SIGNS}]|[-._*~'’](?=[\p{{L}}\p{{N}}{_SIGNS}])")
+#: Characters that end no gap and stand for nothing at a token's ends.
+ENDS = ".,;:?"
+#: A character twice or more.
+RUN = re.compile(r"(.)\1+", re.DOTALL)
 #: Share of the character model's words that the lexicon's words get, so that disguises of them are seen through.
 SUSPECT = 0.02
 CACHE = 200_000
@@ -79,6 +113,7 @@ class CharacterModel:
             of_one[g[0]] += n
         self.tables = {"three": dict(three), "two": dict(two), "one": dict(one), "of_two": dict(of_two), "of_one": dict(of_one), "total": total}
         self.memo: dict[str, float] = {}
+        self.kept: dict[tuple[str, str, str], str] = {}
 
     def cost(self, gram: str) -> float:
         got = self.memo.get(gram)
@@ -91,12 +126,45 @@ class CharacterModel:
         return got
 
 
+def restore_plain(word: str, model: CharacterModel) -> str:
+    """`restore` of a word of letters only.
+
+    All ways meet behind each run of a letter: how much of it stays depends on the letters beside it alone.
+    """
+
+    def stays(m: re.Match) -> str:
+        run, (at, end) = m[0], m.span()
+        key = (word[at - 1] if at else " ", run, word[end] if end < len(word) else " ")
+        got = model.kept.get(key)
+        if got is None:
+            before, letter, after, n = key[0], run[0], key[2], len(run)
+            best, many = REPEAT * (n - 1) + model.cost(before + letter + after), 1
+            for k in (2, n):
+                price = model.cost(before + letter * 2) + (k - 2) * model.cost(letter * 3) + (n - k) * REPEAT + model.cost(letter * 2 + after)
+                if price < best:
+                    best, many = price, k
+            got = letter * many
+            if len(model.kept) < CACHE and n < 64:
+                model.kept[key] = got
+        return got
+
+    return RUN.sub(stays, word)
+
+
 def restore(written: str, model: CharacterModel) -> str:
     """The likeliest words behind written characters, parted by spaces; in time linear in their number."""
     # By the last two letters: the price and the letters so far, as a chain (letters before, letter).
     best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
     in_gap = False
-    for c in written:
+    # There is one best way up to the first of the last like letters that it begins with.
+    head = 0
+    while head < len(written) and written[head].isalpha():
+        head += 1
+    if head:
+        head = len(written[:head].rstrip(written[head - 1])) + 1
+        letters = restore_plain(written[:head], model)
+        best = {f"  {letters}"[-2:]: (0.0, ((None, letters[:-1]), letters[-1]))}
+    for c in written[head:]:
         sign = IMITATES.get(c)
         if sign is None and not c.isalnum():
             if not in_gap:
@@ -132,27 +200,32 @@ def restore(written: str, model: CharacterModel) -> str:
     return "".join(reversed(letters)).strip()
 
 
-def least_letters(token: str) -> int:
-    """Letters that every word restored from a token without gaps has."""
-    letters = LETTERS.findall(token)
-    joined = "".join(letters)
-    return sum(1 for a, b in zip(joined, " " + joined) if a != b)
-
-
 def spaced(low: str) -> set[str]:
     """The text's runs of characters that stand alone, each gap one space."""
-    return {" ".join(regex.findall(r"[\p{L}\p{N}@$!|]", m)) for m in SPACED.findall(low)}
+    return {" ".join(ALONE.findall(m)) for m in SPACED.findall(low)}
 
 
-def words_of(text: str, restored) -> set[str]:
-    """Distinct words of a text, disguised ones also restored."""
-    low = text.lower()
+def token_words(low: str, restored: Callable[[str], str]) -> set[str]:
+    """Distinct words of a lower-case text, disguised ones also restored, but not those spaced out over it."""
     found = set(LETTERS.findall(low))
-    for w in {w for w in WORD.findall(low) if DISGUISED.search(w)} | spaced(low):
+    if not ODD.search(low):
+        for w in [w for w in found if RUN.search(w)]:
+            found.update(restored(w).split())
+        return found
+    for w in {w for w in WORD.findall(low) if DISGUISED.search(w)}:
         found.update(restored(w).split())
     return found
 
 
+def words_of(text: str, restored: Callable[[str], str]) -> set[str]:
+    """Distinct words of a text, disguised ones also restored."""
+    low = text.lower()
+    found = token_words(low, restored)
+    for run in spaced(low):
+        found.update(restored(run).split())
+    return found
+
+
 class Restorer(dict):
     def __init__(self, model: CharacterModel) -> None:
         self.model = model
@@ -161,40 +234,76 @@ class Restorer(dict):
         return self[word]
 
     def __missing__(self, word: str) -> str:
+        if word.isalpha():  # quicker than to remember
+            return restore_plain(word, self.model)
         made = restore(word, self.model)
         if len(self) < CACHE and len(word) < 64:
             self[word] = made
         return made
 
 
+class Reader(dict):
+    """`words_of` with one model; the words of a white-space-delimited token are worked out once."""
+
+    def __init__(self, characters: CharacterModel) -> None:
+        self.restorer = Restorer(characters)
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        word = token.strip(ENDS)
+        made = ((word, self.restorer(word)) if RUN.search(word) else (word,)) if word.isalpha() else tuple(token_words(token, self.restorer))
+        if len(self) < CACHE and len(token) < 64:
+            self[token] = made
+        return made
+
+    def __call__(self, text: str) -> set[str]:
+        low = text.lower()
+        found = set(itertools.chain.from_iterable(map(self.__getitem__, set(low.split()))))
+        for run in spaced(low):
+            found.update(self.restorer(run).split())
+        return found
+
+
 class Finder:
     """The lexicon's words in texts, plain or disguised; what a white-space-delimited token holds is worked out once."""
 
     def __init__(self, lexicon: dict[str, float], characters: CharacterModel) -> None:
         self.lexicon, self.restorer = lexicon, Restorer(characters)
         self.longest = max(map(len, lexicon), default=0)
+        # Restoring a word of letters only changes how long its runs are.
+        self.thin = {RUN.sub(r"\1", w) for w in lexicon}
         self.clean: set[str] = set()  # tokens known to hold none
         self.known: dict[str, frozenset[str]] = {}
 
     def _restored(self, word: str) -> str:
-        # A longer word than the lexicon has can't be found in it.
-        return "" if len(word) > self.longest and LETTERS.fullmatch(word) and least_letters(word) > self.longest else self.restorer(word)
+        if word.isalpha():
+            return self.restorer(word) if RUN.sub(r"\1", word) in self.thin else ""
+        return self.restorer(word)
 
     def _of(self, token: str) -> frozenset[str]:
-        got = self.known.get(token)
-        if got is None:
-            got = frozenset(words_of(token, self._restored) & self.lexicon.keys())
-            if got:
-                if len(self.known) < CACHE:
-                    self.known[token] = got
-            elif len(self.clean) < CACHE and len(token) < 64:
-                self.clean.add(token)
+        got = frozenset(token_words(token, self._restored) & self.lexicon.keys())
+        if got:
+            if len(self.known) < CACHE:
+                self.known[token] = got
+        elif len(self.clean) < CACHE and len(token) < 64:
+            self.clean.add(token)
         return got
 
     def __call__(self, text: str) -> set[str]:
         low = text.lower()
         found: set[str] = set()
+        plain, odd = [], []
         for t in set(low.split()) - self.clean:
+            got = self.known.get(t)
+            if got is not None:
+                found |= got
+            else:
+                (plain if t.strip(ENDS).isalpha() or not ODD.search(t) else odd).append(t)
+        # Plain tokens are looked at together; most hold none.
+        if plain and not self.thin.isdisjoint(LETTERS.findall(RUN.sub(r"\1", " ".join(plain)))):
+            odd += plain
+        elif len(self.clean) < CACHE:
+            self.clean.update(t for t in plain if len(t) < 64)
+        for t in odd:
             found |= self._of(t)
         # Letters spaced out over tokens.
         for run in spaced(low):
@@ -249,28 +358,30 @@ def training(docs: DataFrame, labels: DataFrame, parts: int, held_out: int) -> D
     return materialize(whole.select("text", "y", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(2)).cast("int").alias("side"), F.coalesce("fresh", F.lit(False)).alias("fresh")))
 
 
-def presence(train: DataFrame, reader: Callable[[], Callable[[str], set[str]]], letters: bool = False) -> DataFrame:
-    """kind, word, n0 to n3: in how many fresh texts of each side and label (2 * side + y) each word is (kind 0); with `letters`, how
-    often each trigram of the plain words of all texts occurs (kind 1, in n0)."""
+def presence(train: DataFrame, reader: Callable[[], Callable[[str], set[str]]] | None = None) -> DataFrame:
+    """kind, word, n0 to n3: in how many fresh texts of each side and label (2 * side + y) each word is (kind 0); without a reader, plain
+    words, and how often each trigram of the plain words of all texts occurs (kind 1, in n0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, held, grams = reader(), {}, Counter()
+        read, held, plain = reader and reader(), [Counter() for _ in range(4)], Counter()
 
         def rest() -> pa.RecordBatch:
-            rows = [(0, w, *n) for w, n in held.items()] + [(1, g, n, 0, 0, 0) for g, n in grams.items()]
-            held.clear()
-            grams.clear()
-            return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int32(), pa.string(), *[pa.int64()] * 4])], names=["kind", "word", "n0", "n1", "n2", "n3"])
+            grams = trigrams(plain)
+            words = list(set().union(*held))
+            columns = [pa.array([0] * len(words) + [1] * len(grams), pa.int32()), pa.array([*words, *grams], pa.string())]
+            columns += [pa.array([n.get(w, 0) for w in words] + (list(grams.values()) if i == 0 else [0] * len(grams)), pa.int64()) for i, n in enumerate(held)]
+            for n in (*held, plain):
+                n.clear()
+            return pa.record_batch(columns, names=["kind", "word", "n0", "n1", "n2", "n3"])
 
         for batch in batches:
-            plain: Counter[str] = Counter()
             for text, y, side, fresh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if letters:
-                    plain.update(LETTERS.findall(text.lower()))
-                for w in read(text) if fresh else ():
-                    held.setdefault(w, [0, 0, 0, 0])[2 * side + y] += 1
-            grams.update(trigrams(plain))
-            if len(held) + len(grams) > CACHE:
+                if read is None:
+                    words = LETTERS.findall(text.lower())
+                    plain.update(words)
+                if fresh:
+                    held[2 * side + y].update(set(words) if read is None else read(text))
+            if max(sum(map(len, held)), len(plain)) > CACHE:
                 yield rest()
         yield rest()
 
@@ -323,7 +434,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0) -
     if not (texts[0] + texts[2] and texts[1] + texts[3]):
         discard(train)
         return None
-    counted = materialize(presence(train, lambda: lambda text: set(LETTERS.findall(text.lower())), letters=True))
+    counted = materialize(presence(train))
     grams = counted.where("kind = 1").select("word", "n0").toArrow()
     grams = dict(zip(grams["word"].to_pylist(), grams["n0"].to_pylist(), strict=True))
     each = max(1, int(SUSPECT * sum(n for g, n in grams.items() if g[2] == " ")))
@@ -331,12 +442,8 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0) -
     discard(counted)
     held = docs.sparkSession.sparkContext.broadcast(characters)
 
-    def restored() -> Callable[[str], set[str]]:
-        restorer = Restorer(held.value)
-        return lambda text: words_of(text, restorer)
-
     # The curve is fitted on evidence from the other half, so that chance words don't count.
-    *halves, lexicon = evidence(presence(train, restored), texts, [(0,), (1,), (0, 1)])
+    *halves, lexicon = evidence(presence(train, lambda: Reader(held.value)), texts, [(0,), (1,), (0, 1)])
     x, y, n = features(train, characters, halves)
     discard(train)
     return Model(characters, lexicon, logistic(x, y, share_of_ones(labels, "toxic", parts, held_out), times=n).tolist())

@@ -369,6 +369,40 @@ def test_gaps_of_any_width_and_words_in_a_row():
         assert find(t) == toxicity.words_of(t, restorer) & lexicon.keys(), t
 
 
+def test_words_of_letters_are_restored_without_the_lattice(monkeypatch):
+    """The same words as by the lattice, each run of a letter by the letters beside it."""
+    from collections import Counter
+
+    model = toxicity.CharacterModel(Counter({"moron": 40, "idiot": 40, "poop": 40, "the": 60, "thing": 9, "a": 50, "élan": 5}))
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("moronpaté") * rnd.choice([1, 1, 1, 2, 3, 5]) for _ in range(rnd.randint(1, 8))) for _ in range(300)]
+    assert all(toxicity.restore(w, model) == toxicity.restore(f"-{w}", model) for w in words)  # a gap before it: all of it through the lattice
+    text = " ".join(words) + " the moooron, thhing. poop"
+    want, find = toxicity.words_of(text, toxicity.Restorer(model)), toxicity.Finder({"moron": 5.0, "poop": 5.0, "idiot": 5.0}, model)
+    decoded = []
+    monkeypatch.setattr(toxicity, "restore", lambda *a: decoded.append(a[0]))
+    assert find(text) == {"moron", "poop"} <= want and toxicity.Reader(model)(text) == want and not decoded
+
+
+def test_reader_sees_what_a_scan_of_the_words_sees():
+    from collections import Counter
+
+    model = toxicity.CharacterModel(Counter({"moron": 40, "idiot": 40, "the": 60, "thing": 9, "a": 50}))
+    read, restorer = toxicity.Reader(model), toxicity.Restorer(model)
+    rnd = random.Random(4)
+    for _ in range(400):
+        t = "".join(rnd.choice(["m", "o", "r", "n", "0", "i", "d", "1", "t", " ", "  ", ".", "-", "!", "$", ",", "\n", "the ", "É", "\u0301", "²", "\u2028", "𝒳", "😀"]) for _ in range(rnd.randint(0, 40)))
+        assert read(t) == toxicity.words_of(t, restorer), t
+
+
+def test_patterns_read_every_character_alike():
+    every = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    for p in (toxicity.WORD, toxicity.SPACED, toxicity.LETTERS, toxicity.DISGUISED, toxicity.ODD, toxicity.ALONE):
+        for text in ("".join(every), " ".join(every), "a".join(every), "".join(c + c for c in every), "ab-".join(every)):
+            assert [m.span() for m in p.basic.finditer(text)] == [m.span() for m in p.any.finditer(text)]
+    assert toxicity.LETTERS.findall("ab𐐷c 😀d") == ["ab𐐷c", "d"]
+
+
 def test_contradictory_labels_and_copies_of_either_label(spark):
     from quillspark.llm.labelled import sample
 
