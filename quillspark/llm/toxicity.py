@@ -59,6 +59,9 @@ class Pattern:
     def findall(self, text: str) -> list[str]:
         return self._for(text).findall(text)
 
+    def match(self, text: str) -> re.Match | regex.Match | None:
+        return self._for(text).match(text)
+
     def search(self, text: str) -> re.Match | regex.Match | None:
         return self._for(text).search(text)
 
@@ -155,7 +158,7 @@ def restore(written: str, model: CharacterModel) -> str:
     """The likeliest words behind written characters, parted by spaces; in time linear in their number."""
     # By the last two letters: the price and the letters so far, as a chain (letters before, letter).
     best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-    in_gap = False
+    in_gap, memo = False, model.memo
     # There is one best way up to the first of the last like letters that it begins with.
     head = 0
     while head < len(written) and written[head].isalpha():
@@ -182,7 +185,8 @@ def restore(written: str, model: CharacterModel) -> str:
         after = {}
         for state, (price, chain) in best.items():
             for letter, extra in choices:
-                new, cost = state[1] + letter, price + extra + model.cost(state + letter)
+                new, known = state[1] + letter, memo.get(state + letter)
+                cost = price + extra + (model.cost(state + letter) if known is None else known)
                 if new not in after or cost < after[new][0]:
                     after[new] = (cost, (chain, letter))
                 if chain and chain[1] == letter:  # one more copy of the letter before
@@ -268,15 +272,19 @@ class Finder:
 
     def __init__(self, lexicon: dict[str, float], characters: CharacterModel) -> None:
         self.lexicon, self.restorer = lexicon, Restorer(characters)
-        self.longest = max(map(len, lexicon), default=0)
         # Restoring a word of letters only changes how long its runs are.
         self.thin = {RUN.sub(r"\1", w) for w in lexicon}
+        self.heads = {w[:i] for w in self.thin for i in range(len(w) + 1)}
         self.clean: set[str] = set()  # tokens known to hold none
         self.known: dict[str, frozenset[str]] = {}
 
     def _restored(self, word: str) -> str:
+        # Letters stay, and without a gap there is one word: one that begins otherwise than the lexicon's can't be in it.
         if word.isalpha():
             return self.restorer(word) if RUN.sub(r"\1", word) in self.thin else ""
+        head = LETTERS.match(word)
+        if head and RUN.sub(r"\1", head[0]) not in self.heads and all(c.isalnum() or c in IMITATES for c in word):
+            return ""
         return self.restorer(word)
 
     def _of(self, token: str) -> frozenset[str]:
@@ -291,13 +299,13 @@ class Finder:
     def __call__(self, text: str) -> set[str]:
         low = text.lower()
         found: set[str] = set()
-        plain, odd = [], []
-        for t in set(low.split()) - self.clean:
-            got = self.known.get(t)
-            if got is not None:
-                found |= got
-            else:
-                (plain if t.strip(ENDS).isalpha() or not ODD.search(t) else odd).append(t)
+        plain, odd = set(low.split()) - self.clean, []
+        for t in [t for t in plain if t in self.known]:
+            found |= self.known[t]
+            plain.discard(t)
+        if ODD.search(" ".join(plain)):
+            odd = [t for t in plain if not t.strip(ENDS).isalpha() and ODD.search(t)]
+            plain.difference_update(odd)
         # Plain tokens are looked at together; most hold none.
         if plain and not self.thin.isdisjoint(LETTERS.findall(RUN.sub(r"\1", " ".join(plain)))):
             odd += plain
@@ -348,11 +356,12 @@ def training(docs: DataFrame, labels: DataFrame, parts: int, held_out: int) -> D
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [",".join(map(str, copy_key(set(LETTERS.findall(t.lower()))))) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.string())], names=["doc_id", "copy"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.string())], names=["doc_id", "y", "copy"])
 
     known = usable(labels, "toxic", parts, held_out)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (fold(F.col("doc_id"), parts) != held_out))
-    first = texts.mapInArrow(keyed, "doc_id long, copy string").join(known, "doc_id").groupBy("y", "copy").agg(F.min("doc_id").alias("doc_id"))
+    # Joined as below, so that both joins read one shuffle of the texts.
+    first = texts.join(known, "doc_id").mapInArrow(keyed, "doc_id long, y int, copy string").groupBy("y", "copy").agg(F.min("doc_id").alias("doc_id"))
     known = known.join(first.select("doc_id", F.lit(True).alias("fresh")).distinct(), "doc_id", "left")
     whole = texts.join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("fresh").alias("fresh"))
     return materialize(whole.select("text", "y", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(2)).cast("int").alias("side"), F.coalesce("fresh", F.lit(False)).alias("fresh")))

@@ -382,6 +382,8 @@ def test_words_of_letters_are_restored_without_the_lattice(monkeypatch):
     decoded = []
     monkeypatch.setattr(toxicity, "restore", lambda *a: decoded.append(a[0]))
     assert find(text) == {"moron", "poop"} <= want and toxicity.Reader(model)(text) == want and not decoded
+    # A figure or a sign behind a beginning that no sought word has: not decoded either.
+    assert find("thing$$$ xm0r0n thhing!! élan9 " + text) == {"moron", "poop"} and not decoded
 
 
 def test_reader_sees_what_a_scan_of_the_words_sees():
